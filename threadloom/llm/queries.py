@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, mixing, pieces, simhash
+from . import html, mixing, pieces, quality, simhash
 
 
 #: A public SentencePiece model, at this path on every machine.
@@ -36,8 +36,12 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_html, op7_mixing, op9_pieces)}
+    return {f.__name__: f for f in (op1_simhash, op3_html, op7_mixing, op9_pieces, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -19,6 +19,8 @@ from .common import join_small, prepare, stored
 FIT_ROWS = 4000
 #: Words whose presence the classifier weighs, chosen by the likelihood ratio of their presence and the label.
 CUE_WORDS = 64
+#: Letters of a word's beginning that is a cue of its own: inflected words share it.
+STEM = 5
 LETTERS = re.compile(r"[^\W\d_]+")
 HEADS = ("quality", "toxic")
 
@@ -30,6 +32,12 @@ for _chars, _kind in ((" \t\n\r\x0b\x0c", BLANK), ("#$%&*@^~\\_=+<>", SYMBOL), (
         _KIND[ord(_c)] = _kind
 
 
+def presence(text: str) -> set[str]:
+    """Words of a text in lower case, and the beginnings of longer ones, marked by a hyphen."""
+    words = set(LETTERS.findall(text.lower()))
+    return words | {w[:STEM] + "-" for w in words if len(w) > STEM}
+
+
 def style(text: str, words: list[str]) -> list[float]:
     """How a whole text is written: capitals, symbols, repetition, words' lengths and lines."""
     kinds = np.bincount(_KIND[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)], minlength=9)
@@ -59,7 +67,7 @@ class Classifier:
         for row, t in zip(out, texts, strict=True):
             t = t or ""
             row[: len(self.mean) - len(known)] = style(t, t.split())
-            for w in known & set(LETTERS.findall(t.lower())):
+            for w in known & presence(t):
                 row[self.cues[w]] = 1
         out[:, :-1] = (out[:, :-1] - self.mean) / self.scale
         out[:, -1] = 1
@@ -89,7 +97,7 @@ def cue_words(texts: list[str], labels: np.ndarray, most: int) -> list[str]:
     """Words whose presence tells most about the label, by their G statistic; at least 4 texts hold each."""
     seen, hits = Counter(), Counter()
     for t, y in zip(texts, labels, strict=True):
-        words = set(LETTERS.findall(t.lower()))
+        words = presence(t)
         seen.update(words)
         if y:
             hits.update(words)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, mixing, pieces, quality, simhash
+from . import html, language, mixing, pieces, quality, simhash
 
 
 #: A public SentencePiece model, at this path on every machine.
@@ -27,6 +27,13 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    network = language.learn(docs.filter(~held_out))
+    return language.identify(docs, network).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
@@ -41,7 +48,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_html, op7_mixing, op9_pieces, op10_quality)}
+    return {f.__name__: f for f in (op1_simhash, op3_html, op4_language, op7_mixing, op9_pieces, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, language, mixing, pieces, quality, simhash
+from . import forest, html, language, mixing, pieces, pivots, quality, simhash
 
 
 #: A public SentencePiece model, at this path on every machine.
@@ -34,6 +34,14 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, network).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op5_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op6_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, pivots.scaled_floor(64.0))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
@@ -48,11 +56,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_html, op4_language, op7_mixing, op9_pieces, op10_quality)}
+    return {f.__name__: f for f in (op1_simhash, op3_html, op4_language, op5_forest, op6_pivots, op7_mixing, op9_pieces, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": OP7_SQL}
+    return {"op6_pivots": OP6_SQL, "op7_mixing": OP7_SQL}
+
+
+OP6_SQL = r"""
+WITH l AS (SELECT vec_id, embedding AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0),
+u AS (SELECT len(e) AS n FROM l GROUP BY ALL ORDER BY count(*) DESC, n LIMIT 1),
+v AS (SELECT vec_id, list_transform(e, x -> floor(x::DOUBLE * 64)) AS f FROM l WHERE len(e) = (SELECT n FROM u)),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.f, c.f)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
 
 
 OP7_SQL = r"""

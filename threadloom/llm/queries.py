@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forest, html, language, mixing, pieces, pivots, quality, simhash
+from . import forest, html, language, mixing, pieces, pivots, quality, secrets, simhash
 
 
 #: A public SentencePiece model, at this path on every machine.
@@ -47,6 +47,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), PIECES)
 
@@ -56,7 +60,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_html, op4_language, op5_forest, op6_pivots, op7_mixing, op9_pieces, op10_quality)}
+    return {f.__name__: f for f in (op1_simhash, op3_html, op4_language, op5_forest, op6_pivots, op7_mixing, op8_secrets, op9_pieces, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,25 +1,46 @@
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from threadloom.llm import pieces
 from threadloom.llm.queries import PIECES
 
+CODEC = pieces.Codec(PIECES)
 TEXTS = ["Plain words here.", "  two  spaces   three", "x" * 3000, "é́ 😀 漢字", " " * 37 + "end" + " " * 21, "tab\tline\n\n next", "<s> </s> <0x0A> <unk>", "\x00 \x01", ""]
 
 
 @pytest.mark.parametrize("text", TEXTS)
 def test_parity_and_round_trip(text):
     codec = pieces.Codec(PIECES)
-    (ids, odd), = codec.encode([text])
-    assert ids == codec.reference.encode(text) and not odd
-    assert codec.decode([ids]) == [text]
+    for texts in ([text], [text, "and more", text]):
+        ids, ends, odd, back = codec.encode(texts)
+        each = [x.tolist() for x in np.split(ids, ends[:-1])]
+        assert each == codec.reference.encode(texts) and not odd.any()
+        assert codec.decode(each) == texts and back.all()
+
+
+def test_marker_in_a_text_does_not_come_back():
+    codec = pieces.Codec(PIECES)
+    ids, _, odd, back = codec.encode(["a▁b c"])
+    assert ids.tolist() == codec.reference.encode("a▁b c") and not odd.any() and not back.any()
+
+
+@given(st.lists(st.text(st.sampled_from("ab é\n 0▁漢😀."), max_size=40), max_size=6))
+@settings(max_examples=60, deadline=None)
+def test_parity_on_any_text(texts):
+    ids, ends, _, back = CODEC.encode(texts)
+    each = [x.tolist() for x in np.split(ids, ends[:-1])] if texts else []
+    assert each == CODEC.reference.encode(texts)
+    assert back.tolist() == [a == b for a, b in zip(CODEC.decode(each), texts, strict=True)]
 
 
 def test_differing_words_take_the_reference(monkeypatch):
     codec = pieces.Codec(PIECES)
     right = codec.reference.encode("some odd words")
     monkeypatch.setattr(codec, "tokenizer", pieces.Tokenizer(pieces.models.BPE({p.piece: i for i, p in enumerate(codec.proto.pieces)}, [], unk_token="<unk>", byte_fallback=True)))
-    (ids, odd), = codec.encode(["some odd words"])
-    assert ids == right and odd == 3
+    ids, _, odd, _ = codec.encode(["some odd words"])
+    assert ids.tolist() == right and odd.tolist() == [3]
 
 
 def test_unigram_is_rebuilt():

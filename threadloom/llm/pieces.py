@@ -5,8 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,10 +20,21 @@ WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 # Kinds of pieces and of models in the model file.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
-#: Encoded words that a worker keeps.
-KEPT_WORDS = 200_000
-#: Code points of a word that is kept; longer ones are encoded each time.
-KEPT_LENGTH = 64
+#: Encoded words that a worker keeps; new words that are encoded as one text.
+KEPT_WORDS, WORDS_AT_ONCE = 200_000, 500
+
+
+class Words(dict):
+    """Numbers words in the order in which they are first looked up."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
 
 
 class Codec:
@@ -43,48 +54,85 @@ class Codec:
             content = f.read()
         self.proto = sentencepiece_model_pb2.ModelProto.FromString(content)
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=content)
-        self.by_word = not any(re.search(f"[^{SPACE}]{SPACE}", p.piece) for p in self.proto.pieces if p.type in (NORMAL, USER))
         spec = self.proto.normalizer_spec
-        # The cut by words also needs a normaliser that keeps the text and pieces that follow spaces.
-        self.by_word &= not spec.precompiled_charsmap and not spec.remove_extra_whitespaces and spec.escape_whitespaces and not self.proto.trainer_spec.treat_whitespace_as_suffix
-        self.prefix = SPACE if spec.add_dummy_prefix else ""
+        # The cut by words needs a normaliser that keeps the text, and pieces that don't go on behind a space.
+        self.by_word = (
+            not any(re.search(f"[^{SPACE}]{SPACE}", p.piece) for p in self.proto.pieces if p.type in (NORMAL, USER))
+            and not (spec.precompiled_charsmap or spec.remove_extra_whitespaces or self.proto.trainer_spec.treat_whitespace_as_suffix)
+            and spec.escape_whitespaces
+            and spec.add_dummy_prefix
+        )
         self.tokenizer = rebuilt(self.proto)
-        self.known: dict[str, list[int]] = {}
-        self.odd: set[str] = set()
+        self.starts = np.array([p.piece.startswith(SPACE) for p in self.proto.pieces])
+        self._forget()
 
-    def _encode(self, words: list[str]) -> list[tuple[list[int], bool]]:
-        if not words:
-            return []
-        ours = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        theirs = self._reference(words)
-        return [(b, a == b) for a, b in zip(ours, theirs, strict=True)]
-
-    def _reference(self, words: list[str]) -> list[list[int]]:
-        if not self.by_word:
-            return self.reference.encode(words, num_threads=1)
-        cut = len(self.prefix)
-        # The reference adds the prefix itself. A word without it only comes first in a text of a model without prefix.
-        return self.reference.encode([w[cut:] for w in words], num_threads=1)
+    def _forget(self) -> None:
+        self.words = Words()
+        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.odd, self.changed = np.zeros(0, bool), np.zeros(0, bool)
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], int]]:
-        """Ids of each text, and how many of its words the two libraries encode differently."""
+    def _cut(self, text: str) -> list[str]:
+        """Words of a text: as they are between single spaces, else with the markers before them."""
+        if not text:
+            return []
+        if "  " in text or SPACE in text or text[0] == " " or text[-1] == " ":
+            return WORDS.findall(SPACE + text.replace(" ", SPACE))
+        return text.split(" ")
+
+    def _learn(self, new: list[str]) -> None:
+        """Encodes words by both libraries, many as one text where that gives each word's ids, else one by one."""
+        ids, sizes, odd, changed = [self.ids], [], [], []
+        plain = [not w.startswith(SPACE) for w in new]
+        for at in range(0, len(new), WORDS_AT_ONCE):
+            words = new[at : at + WORDS_AT_ONCE]
+            if all(plain[at : at + WORDS_AT_ONCE]):
+                text = " ".join(words)
+                (one,) = self.tokenizer.encode_batch_fast([SPACE + text.replace(" ", SPACE)], add_special_tokens=False)
+                got = np.array(one.ids, np.int32)
+                first = np.nonzero(self.starts[got])[0]
+                if len(first) == len(words) and self.reference.encode(text, num_threads=1) == one.ids and self.decode([one.ids]) == [text]:
+                    ids.append(got)
+                    sizes.append(np.diff(np.append(first, len(got))))
+                    odd.append(np.zeros(len(words), bool))
+                    changed.append(np.zeros(len(words), bool))
+                    continue
+            marked = [w if w.startswith(SPACE) else SPACE + w for w in words]
+            ours = [e.ids for e in self.tokenizer.encode_batch_fast(marked, add_special_tokens=False)]
+            theirs = self.reference.encode([w[1:] for w in marked], num_threads=1)
+            # A single marker, at a text's end, is no text of its own to the reference: there it is this one piece.
+            theirs = [x if w != SPACE else [self.reference.piece_to_id(SPACE)] for w, x in zip(marked, theirs, strict=True)]
+            ids += [np.array(x, np.int32) for x in theirs]
+            sizes.append(np.array([len(x) for x in theirs], np.int64))
+            odd.append(np.array([x != y for x, y in zip(ours, theirs, strict=True)], bool))
+            changed.append(np.array([x != y[1:].replace(SPACE, " ") for x, y in zip(self.decode(theirs), marked, strict=True)], bool))
+        self.ids = np.concatenate(ids)
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))])
+        self.odd, self.changed = np.concatenate([self.odd, *odd]), np.concatenate([self.changed, *changed])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, each text's end, how many of its words are encoded differently, whether it decodes."""
         if not self.by_word:
-            return [(ids, 0 if same else 1) for ids, same in self._encode(texts)]
-        cut = [WORDS.findall(self.prefix + t.replace(" ", SPACE)) if t else [] for t in texts]
-        known = self.known
-        if len(known) > KEPT_WORDS:
-            known.clear()
-            self.odd.clear()
-        new = [w for w in set(chain.from_iterable(cut)) if w not in known]
-        for w, (ids, same) in zip(new, self._encode(new), strict=True):
-            known[w] = ids
-            if not same:
-                self.odd.add(w)
-        out = [(list(chain.from_iterable(map(known.__getitem__, words))), sum(w in self.odd for w in words) if self.odd else 0) for words in cut]
-        for w in new:
-            if len(w) > KEPT_LENGTH:
-                del known[w]
-        return out
+            ours = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            theirs = self.reference.encode(texts, num_threads=1)
+            back = self.decode(theirs)
+            ends = np.cumsum([len(x) for x in theirs], dtype=np.int64)
+            return np.array([i for x in theirs for i in x], np.int32), ends, np.array([x != y for x, y in zip(ours, theirs, strict=True)], np.int64), np.array([x == y for x, y in zip(texts, back, strict=True)], bool)
+        if len(self.words) > KEPT_WORDS:
+            self._forget()
+        look = self.words.__getitem__
+        numbers = [np.fromiter(map(look, w), np.int64, len(w)) for w in map(self._cut, texts)]
+        if self.words.new:
+            self._learn(self.words.new)
+            self.words.new.clear()
+        word = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
+        last = np.cumsum([len(x) for x in numbers], dtype=np.int64)
+        start, size = self.ends[word], self.ends[word + 1] - self.ends[word]
+        total = np.append(0, np.cumsum(size))
+        ids = self.ids[np.repeat(start - total[:-1], size) + np.arange(total[-1])]
+        odd, changed = (np.append(0, np.cumsum(x[word]))[np.append(0, last)] for x in (self.odd, self.changed))
+        # A marker in a text comes back as a space.
+        back = (np.diff(changed) == 0) & np.array([SPACE not in t for t in texts], bool)
+        return ids, total[last], np.diff(odd), back
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
@@ -140,16 +188,16 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(model)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            coded = use.encode([t or "" for t in texts])
-            back = use.decode([ids for ids, _ in coded])
-            missing = [t is None for t in texts]
+            texts = b.column(1)
+            ids, ends, odd, back = use.encode(texts.fill_null("").to_pylist())
+            missing = texts.is_null().to_numpy(zero_copy_only=False)
+            sizes = np.diff(ends, prepend=0)
             columns = [
                 b.column(0),
-                pa.array([None if no else ids for no, (ids, _) in zip(missing, coded, strict=True)], pa.list_(pa.int32())),
-                pa.array([None if no else len(ids) for no, (ids, _) in zip(missing, coded, strict=True)], pa.int64()),
-                pa.array([None if no else odd for no, (_, odd) in zip(missing, coded, strict=True)], pa.int64()),
-                pa.array([None if t is None else t == d for t, d in zip(texts, back, strict=True)], pa.bool_()),
+                pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids), mask=pa.array(missing)),
+                pa.array(sizes, pa.int64(), mask=missing),
+                pa.array(odd, pa.int64(), mask=missing),
+                pa.array(back, pa.bool_(), mask=missing),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "n_tokens", "n_odd", "round_trip"])
 

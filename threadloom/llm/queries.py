@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forest, html, language, mixing, pieces, pivots, quality, secrets, simhash
+from . import forest, html, language, lm, mixing, pieces, pivots, quality, secrets, simhash
 
 
 #: A public SentencePiece model, at this path on every machine.
@@ -23,6 +23,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    found = lm.scores(table(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -60,7 +66,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_html, op4_language, op5_forest, op6_pivots, op7_mixing, op8_secrets, op9_pieces, op10_quality)}
+    return {f.__name__: f for f in (op1_simhash, op2_lm, op3_html, op4_language, op5_forest, op6_pivots, op7_mixing, op8_secrets, op9_pieces, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -95,3 +95,15 @@ def queue_end(entries: DataFrame, sizes: DataFrame, share: float) -> Column:
     first = rows.withColumn("upto", upto).filter(F.col("upto") > budget).orderBy(*ORDER).first()
     # Nulls come first in the order, and so they do in a comparison of structs.
     return F.struct(*ORDER) < F.struct(*[F.lit(first[c]).cast(entries.schema[c].dataType).alias(c) for c in ORDER])
+
+
+def mixed(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
+    """The mix itself: each document's row, with its columns, as often as the mix takes it.
+
+    Documents without words aren't taken. Rows with the same id, source and size are taken alike.
+    """
+    fate = mix_sources(docs, weights, share, most).filter("repeats > 0").groupBy("doc_id", "source", "size").agg(F.max("repeats").alias("__repeats"))
+    fate = fate.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__fate_size"), "__repeats")
+    rows = docs.withColumn("__size", word_count())
+    rows = rows.join(fate, same(F.col("doc_id"), F.col("__id")) & same(F.col("source"), F.col("__source")) & (F.col("__size") == F.col("__fate_size")))
+    return rows.withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__repeats")))).select(*docs.columns)

@@ -9,26 +9,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import durable
 
-def bridged_parents(records: DataFrame, rounds: int = 64) -> DataFrame:
+
+def bridged_parents(records: DataFrame, rounds: int = 24) -> DataFrame:
     """(session_id, record_id, parent_id): the nearest ancestor that shows something; null at a root, a gap or a cycle.
 
     records: session_id, record_id, parent_id, emits. Pointers of silent records double their reach each round, so
     rounds grow with the logarithm of a run of silent records; the number of rounds is a bound against cycles.
     """
     silent = records.filter("NOT emits").select("session_id", F.col("record_id").alias("via"), F.col("parent_id").alias("up"))
-    emitting = records.filter("emits").select("session_id", F.col("record_id").alias("at"), F.lit(True).alias("shown"))
     for _ in range(rounds):
-        step = silent.select("session_id", F.col("via").alias("v2"), F.col("up").alias("u2"))
-        jumped = silent.join(step, (silent.session_id == step.session_id) & (silent.up == step.v2), "left")
-        moved = jumped.filter("v2 IS NOT NULL").limit(1).count()
-        silent = jumped.select(silent.session_id, "via", F.when(F.col("v2").isNotNull(), F.when(F.col("u2") == F.col("via"), None).otherwise(F.col("u2"))).otherwise(F.col("up")).alias("up")).checkpoint()
+        step = silent.select("session_id", F.col("via").alias("up"), F.lit(True).alias("silent"), F.col("up").alias("next"))
+        jumped = silent.join(step, ["session_id", "up"], "left")
+        moved = jumped.filter("silent").limit(1).count()
+        up = F.when(F.col("silent"), F.when(F.col("next") != F.col("via"), F.col("next"))).otherwise(F.col("up"))
+        silent = durable(jumped.select("session_id", "via", up.alias("up")))
         if not moved:
             break
-    own = records.filter("emits").select("session_id", "record_id", F.col("parent_id").alias("p"))
-    over = own.join(silent.withColumnRenamed("via", "p"), ["session_id", "p"], "left").withColumn("target", F.coalesce("up", "p"))
-    known = over.join(emitting, (over.session_id == emitting.session_id) & (over.target == emitting.at), "left")
-    return known.select(over.session_id, "record_id", F.when(F.col("shown"), F.col("target")).alias("parent_id"))
+    own = records.filter("emits").select("session_id", "record_id", F.col("parent_id").alias("via"))
+    over = own.join(silent.withColumn("silent", F.lit(True)), ["session_id", "via"], "left").withColumn("target", F.when(F.col("silent"), F.col("up")).otherwise(F.col("via")))
+    emitting = records.filter("emits").select("session_id", F.col("record_id").alias("target"), F.lit(True).alias("shown"))
+    return over.join(emitting, ["session_id", "target"], "left").select("session_id", "record_id", F.when(F.col("shown"), F.col("target")).alias("parent_id"))
 
 
 def tips(events: DataFrame) -> DataFrame:
@@ -60,13 +62,13 @@ def live_by_pointers(events: DataFrame) -> DataFrame:
     before = -1
     while True:
         more = marked.join(jumps, ["session_id", "event_id"]).filter("up IS NOT NULL").select("session_id", F.col("up").alias("event_id"))
-        marked = marked.union(more).distinct().checkpoint()
+        marked = durable(marked.union(more).distinct())
         n = marked.count()
         if n == before:
             return marked
         before = n
         far = jumps.select("session_id", F.col("event_id").alias("up"), F.col("up").alias("u2"))
-        jumps = jumps.join(far, ["session_id", "up"], "left").select("session_id", "event_id", F.col("u2").alias("up")).checkpoint()
+        jumps = durable(jumps.join(far, ["session_id", "up"], "left").select("session_id", "event_id", F.col("u2").alias("up")))
 
 
 def places(events: DataFrame) -> DataFrame:

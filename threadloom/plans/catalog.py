@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import retrieval
+from . import ingest, retrieval
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(retrieval.QUERIES)
+    return retrieval.QUERIES | ingest.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(retrieval.SQL)
+    return retrieval.SQL | ingest.SQL

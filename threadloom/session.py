@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = "*", memory: str = "8g") -> SparkSession:
@@ -23,3 +24,11 @@ def local_session(cores: str | int = "*", memory: str = "8g") -> SparkSession:
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The same rows, written to the checkpoint folder: the cluster's, or one of this machine's where none is set."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="threadloom-"))
+    return df.checkpoint(eager=True)

@@ -200,6 +200,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
                 pa.array(back, pa.bool_(), mask=missing),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "n_tokens", "n_odd", "round_trip"])
+        use._forget()  # a worker may wait for other tasks for long
 
     prepare(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()

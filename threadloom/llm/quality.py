@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_small, prepare, stored
@@ -157,49 +156,83 @@ def shrinkage(groups: DataFrame, good: str, n: str) -> tuple[float, float]:
     return p, 1 / rho - 1
 
 
+@dataclass
+class Sites:
+    """A fitted classifier and what is known of hosts and of paths below them."""
+
+    model: object  # broadcast Classifier
+    paths: DataFrame
+    hosts: DataFrame
+    priors: dict[str, tuple[float, float, float]]  # head: rate, strength of the prior of hosts, and of paths
+
+
+def sites(docs: DataFrame, labels: DataFrame, host: str, path: str, rows: int) -> Sites:
+    """Sums over each path and host: every document by the classifier, those with a label corrected to it."""
+    spark = prepare(docs.sparkSession)
+    model = spark.sparkContext.broadcast(classifier(docs, labels, rows))
+    evidence = stored(docs.select("doc_id", F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), logits(model)("text").alias("e")))
+    plain = [expected(model.value, i).alias(f"p_{h}") for i, h in enumerate(HEADS)]
+    rates = evidence.select("doc_id", "host", "path", *plain)
+    own = rates.join(one_label(labels), "doc_id").groupBy("host", "path").agg(*[F.sum(F.coalesce(F.col(h) - F.col(f"p_{h}"), F.lit(0.0))).alias(f"path_{h}") for h in HEADS])
+    every = rates.groupBy("host", "path").agg(F.count("*").alias("n_path"), *[F.sum(f"p_{h}").alias(f"path_{h}") for h in HEADS])
+    both = every.unionByName(own.withColumn("n_path", F.lit(0).cast("bigint")))
+    paths = stored(both.groupBy("host", "path").agg(F.sum("n_path").alias("n_path"), *[F.greatest(F.lit(0.0), F.least(F.sum(f"path_{h}"), F.sum("n_path").cast("double"))).alias(f"path_{h}") for h in HEADS]))
+    hosts = stored(paths.groupBy("host").agg(F.sum("n_path").alias("n_host"), *[F.sum(f"path_{h}").alias(f"host_{h}") for h in HEADS]))
+    priors = {}
+    for h in HEADS:
+        (rate, of_hosts), (_, of_paths) = shrinkage(hosts, f"host_{h}", "n_host"), shrinkage(paths, f"path_{h}", "n_path")
+        priors[h] = (rate, of_hosts, of_paths)
+    return Sites(model, paths, hosts, priors)
+
+
+def logits(model):  # noqa: ANN001, ANN201
+    """A column function from a text to the classifier's evidence, a number for each head."""
+
+    @F.pandas_udf("array<double>")
+    def evidence(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(model.value.logits(texts.where(texts.notna(), None).tolist())), index=texts.index, dtype=object)
+
+    return lambda text: evidence(F.col(text).cast("string"))
+
+
+def expected(model: Classifier, head: int) -> Column:
+    """Chance by the text alone, from the evidence in the column `e`."""
+    rate = model.rates[head]
+    return 1 / (1 + F.exp(-(F.col("e")[head] + F.lit(float(np.log(rate / (1 - rate)))))))
+
+
+def judged(rows: DataFrame, known: Sites) -> DataFrame:
+    """Rows of (e, host, path) with quality_score, toxic_score and keep."""
+    out = join_small(join_small(rows, known.paths, ["host", "path"]), known.hosts, ["host"])
+    for i, h in enumerate(HEADS):
+        rate, of_hosts, of_paths = known.priors[h]
+        own = expected(known.model.value, i)
+        at_host = (F.greatest(F.lit(0.0), F.col(f"host_{h}") - own) + F.lit(of_hosts * rate)) / (F.col("n_host") - 1 + F.lit(of_hosts))
+        at_path = (F.greatest(F.lit(0.0), F.col(f"path_{h}") - own) + F.lit(of_paths) * at_host) / (F.col("n_path") - 1 + F.lit(of_paths))
+        site = F.least(F.greatest(at_path, F.lit(1e-4)), F.lit(1 - 1e-4))
+        out = out.withColumn(f"{h}_score", 1 / (1 + F.exp(-(F.col("e")[i] + F.log(site / (1 - site))))))
+    return out.withColumn("keep", (F.col("quality_score") >= 0.5) & (F.col("toxic_score") < 0.5))
+
+
 def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", rows: int = FIT_ROWS) -> DataFrame:
     """(doc_id, host, path, quality_score, toxic_score, keep) of every row of `docs` (doc_id, text, host, path).
 
     A text classifier gives each document's evidence. All documents of a host and of a path below it give these
-    sites' rates: by their labels where they have one, else by the classifier. A path's rate is shrunk toward its
-    host's, and that toward the overall one, the more the fewer documents there are; a document does not count for
-    its own site. The scores join the site's rate and the text's evidence, in log-odds. keep: quality is likely and
-    toxicity isn't.
+    sites' rates: by the classifier, corrected by labels where there are any. A path's rate is shrunk toward its
+    host's, and that toward the overall one, the more the fewer documents there are; a document's own text does not
+    count for its site. The scores join the site's rate and the text's evidence, in log-odds. keep: quality is
+    likely and toxicity isn't.
 
     Null texts count as empty; null hosts and paths are sites like others; null ids have no label. Repeated rows
     stay. Without labels the scores stay near a half. An empty table gives an empty result. Other columns are not read.
     """
-    spark = prepare(docs.sparkSession)
-    model = spark.sparkContext.broadcast(classifier(docs, labels, rows))
+    known = sites(docs, labels, host, path, rows)
+    evidence = docs.select("doc_id", F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), logits(known.model)("text").alias("e"))
+    return judged(evidence, known).select("doc_id", "host", "path", *[f"{h}_score" for h in HEADS], "keep")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                logits = model.value.logits(b.column(3).to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *[pa.array(logits[:, i]) for i in range(len(HEADS))]], ["doc_id", "host", "path", *[f"e_{h}" for h in HEADS]])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), F.col("text").cast("string").alias("text"))
-    evidence = texts.mapInArrow(run, f"doc_id {kind}, host string, path string, " + ", ".join(f"e_{h} double" for h in HEADS))
-    evidence = evidence.join(one_label(labels), "doc_id", "left")
-    for h, rate in zip(HEADS, model.value.rates, strict=True):
-        own = 1 / (1 + F.exp(-(F.col(f"e_{h}") + F.lit(float(np.log(rate / (1 - rate)))))))
-        evidence = evidence.withColumn(f"y_{h}", F.coalesce(F.col(h), own))
-    evidence = stored(evidence.drop(*HEADS))
-    paths = stored(evidence.groupBy("host", "path").agg(F.count("*").alias("n_path"), *[F.sum(f"y_{h}").alias(f"path_{h}") for h in HEADS]))
-    hosts = stored(paths.groupBy("host").agg(F.sum("n_path").alias("n_host"), *[F.sum(f"path_{h}").alias(f"host_{h}") for h in HEADS]))
-    out = join_small(join_small(evidence, paths, ["host", "path"]), hosts, ["host"])
-    for h in HEADS:
-        (rate, host_strength), (_, path_strength) = shrinkage(hosts, f"host_{h}", "n_host"), shrinkage(paths, f"path_{h}", "n_path")
-        y = F.col(f"y_{h}")
-        of_host = (F.col(f"host_{h}") - y + F.lit(host_strength * rate)) / (F.col("n_host") - 1 + F.lit(host_strength))
-        of_path = (F.col(f"path_{h}") - y + F.lit(path_strength) * of_host) / (F.col("n_path") - 1 + F.lit(path_strength))
-        site = F.least(F.greatest(of_path, F.lit(1e-4)), F.lit(1 - 1e-4))
-        out = out.withColumn(f"{h}_score", 1 / (1 + F.exp(-(F.col(f"e_{h}") + F.log(site / (1 - site))))))
-    return out.select("doc_id", "host", "path", *[f"{h}_score" for h in HEADS], ((F.col("quality_score") >= 0.5) & (F.col("toxic_score") < 0.5)).alias("keep"))
-
-
-def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that the scores keep, with their columns. Rows of one id are kept or rejected together."""
-    kept = score(docs, labels, **options).groupBy("doc_id").agg(F.max("keep").alias("keep")).filter("keep")
-    return docs.join(kept.select(F.col("doc_id").alias("__kept")), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+
+def accepted(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", rows: int = FIT_ROWS) -> DataFrame:
+    """The rows that the scores keep, with their columns. Texts don't move: sites come to them."""
+    known = sites(docs, labels, host, path, rows)
+    packed = docs.select(F.struct(*docs.columns).alias("__row"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), logits(known.model)("text").alias("e"))
+    return judged(packed, known).filter("keep").select("__row.*")

@@ -75,9 +75,9 @@ def oracle_sql() -> dict[str, str]:
 
 OP6_SQL = r"""
 WITH l AS (SELECT vec_id, embedding AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
-      AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0),
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 u AS (SELECT len(e) AS n FROM l GROUP BY ALL ORDER BY count(*) DESC, n LIMIT 1),
-v AS (SELECT vec_id, list_transform(e, x -> floor(x::DOUBLE * 64)) AS f FROM l WHERE len(e) = (SELECT n FROM u)),
+v AS (SELECT vec_id, list_transform(e, lambda x: floor(x::DOUBLE * 64)) AS f FROM l WHERE len(e) = (SELECT n FROM u)),
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.f, c.f)::BIGINT AS score
       FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)

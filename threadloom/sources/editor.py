@@ -287,7 +287,7 @@ def rebuilt(parts: list[dict]) -> dict | None:
 
 def heads(spark: SparkSession, root: str) -> DataFrame:
     """(session_id, revision, digest, snapshot) of each archived session's best revision; a group is one session's segments."""
-    files = spark.read.option("wholetext", "true").text(f"{root}/sessions/*/revisions/*.json").select(F.col("_metadata.file_path").alias("path"), F.make_valid_utf8("value").alias("value"))
+    files = spark.read.text(f"{root}/sessions/*/revisions/*.json", wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.make_valid_utf8("value").alias("value"))
     name = F.regexp_extract("path", r"/sessions/([0-9a-f]{64})/revisions/(\d{20})-([0-9a-f]{64})\.json$", 1)
     rows = files.withColumn("folder", name).filter("folder <> ''")
 

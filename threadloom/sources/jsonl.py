@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def plain_path(path: Column) -> Column:
+    """A file's path as it was asked for: decoded, local ones without their scheme."""
+    return F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+
+
 def files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, mtime, size, value): a row a file, bytes that aren't UTF-8 replaced."""
-    rows = spark.read.option("wholetext", "true").text(paths)
-    return rows.select(F.col("_metadata.file_path").alias("path"), F.unix_micros("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_size").alias("size"), F.make_valid_utf8("value").alias("value"))
+    rows = spark.read.text(paths, wholetext=True)
+    return rows.select(plain_path(F.col("_metadata.file_path")).alias("path"), F.unix_micros("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_size").alias("size"), F.make_valid_utf8("value").alias("value"))
 
 
 def records(spark: SparkSession, paths: list[str]) -> DataFrame:

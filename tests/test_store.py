@@ -220,3 +220,59 @@ def test_ambiguous_prefix(spark):
     with pytest.raises(Ambiguous):
         resolve_unique(sessions, "ab1")
     assert resolve_unique(sessions.filter(F.col("session_id") != "codex:ab1"), "ab1") == "pi:ab1"
+
+
+def test_export_archive_and_origins(spark, tmp_path):
+    path, root = tmp_path / "s.db", tmp_path / "archive"
+    store = Store(spark, str(tmp_path / "store"))
+
+    def save(**texts):
+        with sqlite3.connect(path) as c:
+            c.execute("CREATE TABLE IF NOT EXISTS cursorDiskKV (key TEXT PRIMARY KEY, value TEXT)")
+            put = lambda k, v: c.execute("INSERT OR REPLACE INTO cursorDiskKV VALUES (?, ?)", (k, json.dumps(v)))
+            put("composerData:P", {"_v": 3, "createdAt": 1767225600000, "fullConversationHeadersOnly": [{"bubbleId": b} for b in texts]})
+            for n, (b, t) in enumerate(texts.items()):
+                call = {"toolFormerData": {"name": "task", "toolCallId": "k", "additionalData": {"subagentComposerId": "K"}}} if b == "b" else {}
+                put(f"bubbleId:P:{b}", {"bubbleId": b, "type": 2 if call else 1, "text": t, "createdAt": 1767225600001 + n, "isSimulatedMsg": b == "c"} | call)
+            put("composerData:K", {"_v": 3, "createdAt": 1767225600005, "subagentInfo": {"parentComposerId": "P", "toolCallId": "k"}, "conversation": [{"bubbleId": "x", "type": 1, "text": "do", "createdAt": 1767225600006}]})
+
+    save(a="hi", b="")
+    state = {}
+    assert editor.export(spark, str(path), str(root), state, 0.0)["published"] == 2
+    assert editor.export(spark, str(path), str(root), state, 0.0)["unchanged"] == 2
+    assert store.refresh_archive(str(root)) == {"heads": 2, "sessions": 2}
+    assert store.refresh_archive(str(root))["heads"] == 0
+    save(a="hi", b="", c="made up")
+    assert editor.export(spark, str(path), str(root), state, 0.0)["published"] == 1
+    assert store.refresh_archive(str(root))["heads"] == 1 and len(live(store)) == 4
+    made = editor.snapshots(editor.keys(spark, str(path))).select("session_id", "snapshot")
+    assert [(r.session_id, r.bubble_id) for r in editor.spawns(made).collect()] == [("K", "b")]
+    assert json.loads(editor.with_spawns(made).filter("session_id = 'K'").first().snapshot)["session"]["subagentInfo"]["spawnBubbleId"] == "b"
+    assert store.rebuild_origins() == 2
+    verdicts = {r.event_id.split(":")[1]: r.origin for r in store.table("origins").collect()}
+    assert verdicts == {"c": "master_control", "x": "master_control"}
+    assert [editor.retry_after("active", n) for n in (1, 2, 9)] == [60, 120, 3600] and editor.retry_after("draft", 1) == 86_400
+
+
+def test_pool_roots_become_one_store(spark, tmp_path, capsys):
+    for m in ("m1", "m2"):
+        root = tmp_path / m
+        write(root, "S.jsonl", user("u1", None, "hello"))
+        assert pool.collect("claude", str(root), str(tmp_path / "pool"), m)["new"] == 1
+    store = ["--store", str(tmp_path / "store")]
+    assert cli.main([*store, "ingest-pool", "--pool", str(tmp_path / "pool"), "--local", "m3"]) == 0
+    assert json.loads(capsys.readouterr().out)["duplicate_sessions"] == 1
+    assert cli.main([*store, "sweep", "claude", str(tmp_path / "m1"), "--pool", str(tmp_path / "pool"), "--machine", "m1"]) == 0
+    assert Store(spark, str(tmp_path / "store")).is_fresh()
+
+
+def test_titles_of_a_side_table(spark, tmp_path):
+    from tests.test_formats import META, message
+
+    log = tmp_path / "sessions" / "2026" / "01" / "01" / "rollout-x.jsonl"
+    log.parent.mkdir(parents=True)
+    log.write_text("\n".join(map(json.dumps, (META, message("q")))))
+    (tmp_path / "session_index.jsonl").write_text("\n".join(map(json.dumps, ({"id": "U", "thread_name": "old"}, {"id": "U", "thread_name": "Named"}))))
+    store = Store(spark, str(tmp_path / "store"))
+    assert store.refresh("codex", str(tmp_path), "m")["sessions"] == 1
+    assert store.corpus().sessions.first().title == "Named"

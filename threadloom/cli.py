@@ -5,15 +5,17 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import time
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import schema
-from .operators import browse, grep, lineage, refs, search, turns
+from .operators import browse, grep, lineage, merge, refs, search, turns
 from .operators.corpus import Ambiguous, Scope, resolve, resolve_unique
 from .session import local_session
+from .sources import control, editor, pool
 from .streaming.store import Store
 
 
@@ -95,6 +97,28 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("source", choices=tuple(s for s in schema.SOURCES if s != "cursor"))
     r.add_argument("root")
     r.add_argument("--machine")
+    pooled = command("ingest-pool", None)
+    pooled.add_argument("--pool", required=True)
+    pooled.add_argument("--local", action="append", default=[])
+    pooled.add_argument("--include-local", action="store_true")
+    for name in ("collect", "sweep"):
+        c = command(name, None)
+        c.add_argument("source", choices=tuple(s for s in schema.SOURCES if s != "cursor"))
+        c.add_argument("root")
+        c.add_argument("--pool", required=True)
+        c.add_argument("--machine", required=True)
+    b = command("backfill", None)
+    b.add_argument("archives", nargs="+")
+    b.add_argument("--pool", required=True)
+    b.add_argument("--machine", default="backfill")
+    b.add_argument("--dry-run", action="store_true")
+    o = command("origins", None)
+    o.add_argument("--log")
+    o.add_argument("--session-field", default="session_id")
+    o.add_argument("--previous-field", default="previous")
+    x = command("export", None)
+    x.add_argument("database")
+    x.add_argument("root")
     command("schema", None)
     q = command("sql", None)
     q.add_argument("statement")
@@ -117,6 +141,23 @@ def result(a: argparse.Namespace, store: Store) -> DataFrame | dict:
         return grep.grep(grep.lines(store.spark, a.paths), a.pattern, a.mode)
     if a.command == "refresh":
         return store.refresh(a.source, a.root, a.machine)
+    if a.command == "ingest-pool":
+        return store.refresh_pool(a.pool, set(a.local), a.include_local)
+    if a.command in ("collect", "sweep"):
+        done = pool.collect(a.source, a.root, a.pool, a.machine)
+        if a.command == "sweep":
+            store.void_mark()
+            done |= store.refresh(a.source, a.root, a.machine)
+            store.mark_fresh()
+        return done
+    if a.command == "backfill":
+        best = merge.backfill_winners(pool.candidates(store.spark, a.archives).filter("NOT legacy_subagent"), c.sessions)
+        return best.select("session_id", "archive", "name", "decision", "n") if a.dry_run else {"restored": pool.restore(best, a.pool, a.machine)}
+    if a.command == "origins":
+        sent = control.mux_submissions(control.mux_entries(store.spark, a.log, a.session_field, a.previous_field)) if a.log else None
+        return {"origins": store.rebuild_origins(sent)}
+    if a.command == "export":
+        return editor.export(store.spark, a.database, a.root, {}, time.time()) | store.refresh_archive(a.root)
     if a.command == "sql":
         for name in ("sessions", "events", "placements", "origins"):
             getattr(c, name).createOrReplaceTempView(name)

@@ -218,6 +218,38 @@ def snapshots(store: DataFrame) -> DataFrame:
     return rows.groupBy("session_id").applyInPandas(run, "session_id string, snapshot string, problem string")
 
 
+def spawns(made: DataFrame) -> DataFrame:
+    """(session_id, bubble_id, created) of the one bubble of its parent that started each sub-agent; none if several could have.
+
+    made: (session_id, snapshot). The bubble's call has the id that the child names, and names the child.
+    """
+    info = "struct<parentComposerId:string,toolCallId:string>"
+    child = made.select("session_id", F.from_json("snapshot", f"session struct<subagentInfo:{info}>")["session"]["subagentInfo"].alias("i")).select("session_id", F.col("i.parentComposerId").alias("parent"), F.col("i.toolCallId").alias("call")).filter("parent IS NOT NULL AND call IS NOT NULL")
+    shape = "order array<struct<bubbleId:string,createdAt:string,payload:struct<toolFormerData:struct<toolCallId:string,additionalData:struct<subagentComposerId:string>>>>>"
+    bubbles = made.select(F.col("session_id").alias("parent"), F.explode(F.from_json("snapshot", shape)["order"]).alias("b")).select(
+        "parent", F.col("b.bubbleId").alias("bubble_id"), F.col("b.createdAt").alias("created"), F.col("b.payload.toolFormerData.toolCallId").alias("call"), F.col("b.payload.toolFormerData.additionalData.subagentComposerId").alias("session_id")
+    )
+    found = child.join(bubbles, ["parent", "call", "session_id"])
+    return found.groupBy("session_id").agg(F.count("*").alias("n"), F.first("bubble_id").alias("bubble_id"), F.first("created").alias("created")).filter("n = 1").drop("n")
+
+
+def with_spawns(made: DataFrame) -> DataFrame:
+    """Snapshots in which sub-agents name the bubble that started them."""
+    place = F.pandas_udf(_placed, "string")
+    return made.join(spawns(made), "session_id", "left").select("session_id", place("snapshot", "bubble_id", "created").alias("snapshot"))
+
+
+def _placed(snapshots: pd.Series, bubbles: pd.Series, created: pd.Series) -> pd.Series:
+    out = []
+    for text, b, at in zip(snapshots, bubbles, created, strict=True):
+        if b is not None:
+            made = json.loads(text)
+            made["session"]["subagentInfo"] |= {"spawnBubbleId": b, **full(spawnCreatedAt=int(at) if str(at).isdigit() else at)}
+            text = canonical_text(made)
+        out.append(text)
+    return pd.Series(out)
+
+
 # --- revisions -------------------------------------------------------------------------------------------------------
 
 
@@ -264,6 +296,42 @@ def publish(root: str, part: dict) -> str:
     return str(path)
 
 
+# Seconds until a session is looked at again, doubled up to a bound while it is being written.
+RETRY_FIRST, RETRY_MOST, RETRY_OTHER = 60, 3600, 86_400
+
+
+def retry_after(problem: str, failures: int) -> int:
+    """Seconds until the next try after so many failures in a row."""
+    return min(RETRY_FIRST * 2 ** max(0, failures - 1), RETRY_MOST) if problem in ("active", "incomplete") else RETRY_OTHER
+
+
+def export(spark: SparkSession, path: str, root: str, state: dict[str, dict], now: float, everything: bool = False) -> dict[str, int]:
+    """Publishes a store's changed sessions as revisions below a root; `state` keeps digests, failures and when to try again.
+
+    Sessions are projected on the executors; what changed, by digest, is published one by one.
+    """
+    stats = {"sessions": 0, "published": 0, "unchanged": 0, "waiting": 0}
+    found = snapshots(keys(spark, path))
+    known = {r["session_id"].removeprefix("cursor:"): r for r in heads(spark, root).toLocalIterator()} if Path(root, "sessions").is_dir() else {}
+    for r in found.toLocalIterator():
+        sid, own = r["session_id"], state.setdefault(r["session_id"], {"failures": 0, "again": 0.0})
+        stats["sessions"] += 1
+        if r["problem"]:
+            if everything or now >= own["again"]:
+                own["failures"] += 1
+                own["again"] = now + retry_after(r["problem"], own["failures"])
+            stats["waiting"] += 1
+            continue
+        state[sid] = {"failures": 0, "again": 0.0}
+        made, old = json.loads(r["snapshot"]), known.get(sid)
+        previous = {"revision": old["revision"], "digest": old["digest"], "payloads": {digest(b["payload"]): b["payload"] for b in json.loads(old["snapshot"])["order"]}} if old else None
+        part = segment(made, previous)
+        stats["published" if part else "unchanged"] += 1
+        if part:
+            publish(root, part)
+    return stats
+
+
 def rebuilt(parts: list[dict]) -> dict | None:
     """(revision, digest, snapshot) of the highest revision whose chain is whole and whose contents match their hashes."""
     whole: dict[tuple[int, str], dict[str, dict]] = {}

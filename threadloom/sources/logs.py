@@ -54,6 +54,14 @@ def titles(spark: SparkSession, root: str) -> DataFrame:
     return rows.filter("id <> '' AND title <> ''").groupBy("id").agg(F.max_by("title", "line").alias("title"))
 
 
+def titled(parsed: DataFrame, names: DataFrame) -> DataFrame:
+    """Parsed logs whose sessions have their names from a side table (id, title)."""
+    ids = names.select(F.concat(F.lit("codex:"), "id").alias("sid"), "title")
+    rows = parsed.withColumn("sid", F.when(F.col("kind") == "session", F.get_json_object("body", "$.session_id"))).join(ids, "sid", "left")
+    named = F.to_json(F.from_json("body", schema.SESSIONS).withField("title", F.col("title")))
+    return rows.select("path", "kind", F.when(F.col("title").isNotNull(), named).otherwise(F.col("body")).alias("body"))
+
+
 def parse(files: DataFrame, source: str, machine: str | None = None) -> DataFrame:
     """(path, kind, body) of the sessions, events and placements in files (path, value); bodies are JSON.
 

@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..operators import browse, merge
+from ..operators import browse, merge, provenance
 from ..operators.corpus import Corpus
 from ..session import durable
-from ..sources import jsonl, logs
+from ..sources import control, editor, jsonl, logs
 
 TABLES = {"sessions": schema.SESSIONS, "events": schema.EVENTS, "placements": schema.PLACEMENTS, "origins": schema.ORIGINS, "visibility": schema.VISIBILITY}
 STATE = "path string, mtime bigint, size bigint, source string, session_id string"
@@ -77,6 +77,16 @@ class Store:
         self._write("current", name)
         return name
 
+    def refresh_pool(self, pool: str, local: set[str], include_local: bool = False) -> dict[str, int]:
+        """Takes in all of a pool's roots but this machine's own, and counts sessions that came from several places."""
+        roots, skipped = logs.pool_roots(pool, local, include_local)
+        total = {"pool_roots": len(roots), "skipped_local_roots": len(skipped)}
+        for machine, source, root in roots:
+            got = self.refresh_archive(root) if source == "cursor" else self.refresh(source, root, machine)
+            total |= {k: total.get(k, 0) + v for k, v in got.items()}
+        places = self.table("state").filter("source <> 'cursor'").select("session_id", F.regexp_extract("path", "raw/([^/]+)/", 1).alias("machine"), "source").withColumnRenamed("source", "root")
+        return total | {"duplicate_sessions": merge.duplicate_sessions(places.filter("session_id IS NOT NULL")).count()}
+
     def refresh(self, source: str, root: str, machine: str | None = None) -> dict[str, int]:
         """Takes in the logs below a root that are new or changed since the last time; the others are not read.
 
@@ -90,7 +100,10 @@ class Store:
         if not changed:
             return stats
         files = jsonl.files(self.spark, changed)
-        parsed = durable(logs.parse(files, source, machine))
+        parsed = logs.parse(files, source, machine)
+        if source == "codex" and os.path.isfile(f"{root}/session_index.jsonl"):
+            parsed = logs.titled(parsed, logs.titles(self.spark, root))
+        parsed = durable(parsed)
         counts = {r.kind: r["count"] for r in parsed.groupBy("kind").count().collect()}
         stats |= {"sessions": counts.get("session", 0), "events": counts.get("event", 0), "skipped": counts.get("empty", 0), "errors": counts.get("error", 0)}
         sessions, events, placements = logs.canonical(parsed)
@@ -108,6 +121,45 @@ class Store:
         })
         return stats
 
+    def refresh_archive(self, root: str) -> dict[str, int]:
+        """Takes in the editor's archived sessions whose best revision ranks above the one accepted last."""
+        accepted = self.table("state").filter("source = 'cursor'").selectExpr("session_id", "mtime AS revision", "path AS digest")
+        found = durable(merge.advancing(editor.heads(self.spark, root), accepted))
+        parsed = durable(editor.parse_heads(found))
+        _, events, _ = logs.tables(parsed)
+        sessions, _, placements = logs.canonical(parsed)
+        ranked = events.join(found.select(F.col("session_id").alias("path"), "revision", F.col("digest").alias("head_digest")), "path")
+        ranked = ranked.withColumn("authored", F.col("origin_session_id").isNotNull().cast("int")).withColumn("digest", F.sha2("raw", 256)).drop("path")
+        old = self.table("events").filter("event_id LIKE 'cursor:%'")
+        old = old.withColumn("authored", F.col("origin_session_id").isNotNull().cast("int")).withColumn("digest", F.sha2("raw", 256)).withColumn("revision", F.lit(0).cast("bigint")).withColumn("head_digest", F.lit(""))
+        merged = merge.merge_ranked(old.unionByName(ranked)).select(*schema.EVENTS.names)
+        state = found.selectExpr("digest AS path", "revision AS mtime", "0L AS size", "'cursor' AS source", "session_id")
+        ids = sessions.select("session_id")
+        if ids.limit(1).count():
+            self.publish({
+                "sessions": self.table("sessions").select(*schema.SESSIONS.names).join(ids, "session_id", "left_anti").unionByName(sessions.select(*schema.SESSIONS.names)),
+                "events": self.table("events").filter("NOT event_id LIKE 'cursor:%'").unionByName(merged),
+                "placements": merge.replace_placements(self.table("placements"), placements.select(*schema.PLACEMENTS.names)),
+                "state": self.table("state").join(state.select("session_id", "source"), ["session_id", "source"], "left_anti").unionByName(state).select("path", "mtime", "size", "source", "session_id"),
+            })
+        return {"heads": found.count(), "sessions": ids.count()}
+
+    def rebuild_origins(self, mux: DataFrame | None = None) -> int:
+        """Works out anew who each user message came from: by the editor's flags, agents' tool calls, and a control log.
+
+        mux: submissions of a control log (evidence_id, session_id, sha256, at). What has no verdict is a human's.
+        """
+        sessions, events, placements = self.table("sessions"), self.table("events"), self.table("placements")
+        messages = durable(provenance.user_messages(placements, events))
+        evidence = provenance.flag_evidence(placements, events.filter("event_id LIKE 'cursor:%'"), sessions).withColumn("evidence_id", F.col("evidence_id").cast("string"))
+        for kind, sent in (("mcp", control.agent_submissions(events)), ("mux", mux)):
+            if sent is not None:
+                found = provenance.spread(provenance.verdicts(provenance.candidates(sent, messages, provenance.LATE[kind])), placements)
+                evidence = evidence.unionByName(found.withColumn("evidence_kind", F.lit(kind)))
+        origins = durable(provenance.effective(evidence).select(*schema.ORIGINS.names))
+        self.publish({"origins": origins})
+        return origins.count()
+
     def hide(self, sessions: list[str], reason: str | None, now: str) -> None:
         """Hides sessions, or shows them again where no reason is given; all or none of them."""
         rows = [(s, now if reason is not None else None, reason, time.time_ns()) for s in sessions]

@@ -13,6 +13,8 @@ from .common import join_small, same, stored
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Hexadecimal digits of a document's hash that name its slice of a source; a hot source is cut into so many slices.
 SLICE_DIGITS = 3
+#: Ranges that the queue is sorted into at a time, and rows of one that are summed in order.
+RANGES, SUMMED_ROWS = 64, 10_000
 #: The total order of the queue's entries: virtual finish time, then ties.
 ORDER = ("finish", "h", "doc_id", "size", "rank", "turn")
 
@@ -80,18 +82,23 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
 def queue_end(entries: DataFrame, sizes: DataFrame, share: float) -> Column:
     """Condition for an entry to come before the first that passes the budget of `share` times all words.
 
-    Entries are dealt to sorted ranges; each range's total tells in which one the budget ends, and only that range
-    is summed row by row.
+    Entries are dealt to sorted ranges; the ranges' totals tell in which one the budget ends, and that range is dealt
+    to ranges again, until it is short enough to be summed row by row.
     """
-    ranged = stored(entries.repartitionByRange(*ORDER).withColumn("part", F.spark_partition_id()))
-    totals = ranged.groupBy("part").agg(F.sum("words").alias("n"))
-    totals = totals.withColumn("upto", F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, W.currentRow)))
-    budget = F.lit(float(share)) * F.lit(sizes.agg(F.sum("size")).first()[0] or 0)
-    cut = totals.filter(F.col("upto") > budget).orderBy("part").first()
-    if cut is None:
-        return F.lit(True)
-    rows = ranged.filter(F.col("part") == cut["part"])
-    upto = F.lit(cut["upto"] - cut["n"]) + F.sum("words").over(W.orderBy(*ORDER).rowsBetween(W.unboundedPreceding, W.currentRow))
+    budget, before, rows = float(share) * (sizes.agg(F.sum("size")).first()[0] or 0), 0, entries
+    while True:
+        ranged = stored(rows.repartitionByRange(RANGES, *ORDER).withColumn("part", F.spark_partition_id()))
+        totals = sorted((r["part"], r["words"], r["n"]) for r in ranged.groupBy("part").agg(F.sum("words").alias("words"), F.count("*").alias("n")).collect())
+        for part, words, n in totals:
+            if before + words > budget:
+                break
+            before += words
+        else:
+            return F.lit(True)
+        rows = ranged.filter(F.col("part") == part).drop("part")
+        if n <= SUMMED_ROWS or len(totals) == 1:
+            break
+    upto = F.lit(before) + F.sum("words").over(W.orderBy(*ORDER).rowsBetween(W.unboundedPreceding, W.currentRow))
     first = rows.withColumn("upto", upto).filter(F.col("upto") > budget).orderBy(*ORDER).first()
     # Nulls come first in the order, and so they do in a comparison of structs.
     return F.struct(*ORDER) < F.struct(*[F.lit(first[c]).cast(entries.schema[c].dataType).alias(c) for c in ORDER])

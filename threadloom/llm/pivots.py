@@ -12,8 +12,8 @@ from .common import prepare, stored
 
 #: Pivots; rows that they are chosen from; bins of distance around each.
 PIVOTS, FIT_ROWS, BINS = 16, 2048, 512
-#: Blocks that a query visits in each round before it visits all that are left.
-ROUNDS = (1, 4)
+#: Blocks that a query visits in the first round, and how many times as many in each round after it.
+FIRST, FACTOR = 4, 16
 #: Rows of a block, about.
 ROWS = 4096
 
@@ -89,9 +89,10 @@ def top_products(vectors: DataFrame, asks: Column, value: Column, k: int = 20, k
     found = None
     asked = queries.withColumn("least", F.lit(None).cast("bigint"))
     seen = 0
-    for width in (*ROUNDS, cut.blocks):
+    width = FIRST
+    while True:
         visits = stored(blocks.per_batch(asked, ring_visits(basis, annuli, seen, width), "block bigint, query_id bigint, qv array<bigint>, lo bigint, hi bigint, least bigint"))
-        seen += width
+        seen, width = seen + width, width * FACTOR
         got = blocks.block_scores(placed.drop("d"), visits, cut.blocks, k)
         found = stored(blocks.best(got if found is None else found.drop("rank").unionByName(got), k))
         if seen >= cut.blocks:

@@ -65,7 +65,7 @@ def test_large_integers_stay_exact(spark):
 
 def test_vectors_that_take_no_part(spark):
     inf, nan = float("inf"), float("nan")
-    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [nan, 1.0]), (4, [1.0, None]), (5, [0.0, 0.0]), (6, [inf, 0.0]), (7, [1.0]), (8, []), (20, [0.0, -1.0]), (1, [0.5, 0.5])]
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [nan, 1.0]), (4, [1.0, None]), (5, [0.0, 0.0]), (6, [inf, 0.0]), (7, [1.0]), (8, []), (20, [0.0, -1.0]), (1, [0.5, 0.5]), (None, [9.0, 9.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = collected(forest.neighbours(df, F.col("vec_id") % 20 == 0, 20))
     assert got == {0: [(1, 0.5), (20, 0.0)], 20: [(0, 0.0), (1, -0.5)]}

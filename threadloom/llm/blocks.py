@@ -31,9 +31,9 @@ def usable(df: DataFrame, key: str, vector: str, value: Column, nonzero: bool) -
 
     The usual length is the most common one among these rows (of several, the shortest).
     """
-    v = F.col(vector)
-    there = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < F.lit(float("inf"))))
-    rows = df.select(F.col(key).cast("long").alias("vec_id"), v.alias("v")).filter(there)
+    v = F.col("v")
+    there = F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < F.lit(float("inf"))))
+    rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v")).filter(there)
     if nonzero:
         rows = rows.filter(F.exists("v", lambda x: x != 0))
     length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()

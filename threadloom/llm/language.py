@@ -23,6 +23,12 @@ AT_ONCE = 64
 FIT_DOCS, FIT_WINDOWS = 800, 6
 EPOCHS, STEPS, STEP = 12, 300, 0.01
 LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text or ""))
+
+
 UNKNOWN = "und"
 
 #: Bytes by class: letters, blank, digit, other ASCII, then bytes beyond ASCII; continuation bytes stay apart.
@@ -129,7 +135,7 @@ class Network:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and score of each text: the highest mean of the windows' log-odds, and its mean share in them."""
-        found = [windows(t) if t and LETTER.search(t) else None for t in texts]
+        found = [windows(t) if has_letter(t) else None for t in texts]
         some = [x for x in found if x is not None]
         odds = self.log_odds(np.concatenate(some)) if some and self.languages else None
         out, at = [], 0
@@ -150,7 +156,7 @@ def fitted(texts: list[str], languages: list[str], windows_each: int = FIT_WINDO
     network = Network.new(names)
     rows, labels = [], []
     for t, lang in zip(texts, languages, strict=True):
-        if t and LETTER.search(t):
+        if has_letter(t):
             w = windows(t)
             w = w[np.unique(np.linspace(0, len(w) - 1, windows_each).astype(int))]
             rows.append(w)

@@ -28,3 +28,10 @@ def test_null_empty_and_long(spark):
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted(r.n_chars for r in got) == [0, 0, 0, 30_000 * 11 - 1]
     assert extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string").filter("false")).count() == 0
+
+
+def test_parts_of_an_article_that_are_none():
+    page = f"""<body class="has-sidebar"><form id="aspnetForm"><div class="layout no-sidebar"><article><header class="entry-header"><h1><a href="#t">Title</a></h1></header>
+<p class="notice">We use the cookies of this site for you</p><p>{PROSE}</p><ul><li>first of it<li class="ad">an advert for you<li>last of it</ul><p><a href="/x">All of this is a link to the rest</a></p>
+<table><tr><td>cell<td class="promo">buy it<td>end</table><ul><li><a href=1>Read it</a><li><a href=2>And that</a></ul><div id="reader-comments"><article><p>{PROSE}</p></article></div><footer>by us</footer></article></div></form>"""
+    assert main_text(page) == f"Title {PROSE.strip()} first of it last of it All of this is a link to the rest cell end"

@@ -33,6 +33,11 @@ CHROME_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner popup modal overlay cookie cookies consent gdpr notice notices alert disclaimer nav navbar navigation menu menus submenu breadcrumb breadcrumbs pagination pager sidebar side aside widget widgets rail related recommended recommendations teaser teasers toc header masthead topbar footer foot bottombar copyright legal comment comments commentlist disqus reply replies discussion respond reviews share sharing social follow subscribe subscription newsletter signup login search tags taglist toolbar skip hidden complementary contentinfo".split()
 )
 NOT_CHROME = frozenset("article main".split())
+# Words beside which a header is the article's own, and words that only tell of a part elsewhere.
+OWN_HEADER, OF_HEADERS = frozenset("article entry post story content".split()), frozenset("header masthead".split())
+TELLS_OF = frozenset("has with without no is".split())
+# Elements that end where another of their kind begins.
+SUCCESSIVE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
@@ -49,6 +54,7 @@ class Rules:
     stops: float = 0.30
     few_stops: float = 0.15
     links: float = 0.33
+    item_links: float = 0.9
 
 
 @dataclass
@@ -58,6 +64,7 @@ class Block:
     chrome: bool
     inside: bool
     heading: bool = False
+    item: bool = False
     label: str = field(default="")
 
 
@@ -71,8 +78,11 @@ def is_chrome(name: str, attributes: str, inside: bool) -> bool:
         key, value = key.lower(), (a or b or c).lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
             return True
-        if key in ("class", "id", "role") and not CHROME_WORDS.isdisjoint(WORD_PARTS.findall(value)):
-            return True
+        for part in value.split() if key in ("class", "id", "role") else ():
+            words = WORD_PARTS.findall(part)
+            named = CHROME_WORDS.intersection(words)
+            if named and words[0] not in TELLS_OF and not (named <= OF_HEADERS and OWN_HEADER.intersection(words)):
+                return True
     return False
 
 
@@ -80,18 +90,16 @@ def blocks(html: str) -> list[Block]:
     """Blocks of text in page order, with what the markup says of each."""
     out: list[Block] = []
     parts: list[str] = []
-    linked = 0
-    heading = False
-    opened: list[tuple[str, bool, bool]] = []  # name, chrome, in an article
-    chrome = inside = False
-    anchors = 0
+    opened: list[tuple[str, int, bool]] = []  # name; 1 within a form, 2 in another part that isn't the article; in an article
+    apart, inside, linked, anchors = 0, False, 0, 0
+    tag, own = "", False  # the block's element, and whether it is itself no part of the article
 
     def close() -> None:
         nonlocal linked
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, min(linked, len(text)), chrome, inside, heading))
+                out.append(Block(text, min(linked, len(text)), apart > 0 or own, inside, tag in HEADINGS, tag == "li"))
         parts.clear()
         linked = 0
 
@@ -101,6 +109,12 @@ def blocks(html: str) -> list[Block]:
         if anchors:
             linked += len(" ".join(unescape(text).split()))
 
+    def leave(i: int) -> None:
+        nonlocal apart, inside
+        close()
+        del opened[i:]
+        apart, inside = opened[-1][1:] if opened else (0, False)
+
     at, size = 0, len(html)
     while at < size:
         m = TOKEN.search(html, at)
@@ -110,41 +124,39 @@ def blocks(html: str) -> list[Block]:
         if m.start() > at:
             take(html[at : m.start()])
         at = max(m.end(), at + 1)
-        name = (m[2] or "").lower()
+        name, ends = (m[2] or "").lower(), bool(m[1])
         if not name:
             continue
-        ends = bool(m[1])
-        if name in DROPPED and not ends:
-            if name in RAW:
-                end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(html, at)
-                at = end.end() if end else size
-                continue
+        if name in RAW and not ends:
+            end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(html, at)
+            at = end.end() if end else size
+            continue
         if name in BLOCKS:
             close()
-            heading = not ends and name in HEADINGS
+            tag, own = ("", False) if ends else (name, name == "p" and is_chrome(name, m[3], inside))
         elif name == "a":
             anchors = max(0, anchors + (-1 if ends else 1))
-        if name == "br" or name in EMPTY:
+        if name in EMPTY or name == "p":
             continue
         if ends:
-            for i in range(len(opened) - 1, -1, -1):
-                if opened[i][0] == name:
-                    del opened[i:]
-                    close()
-                    break
-            chrome, inside = opened[-1][1:] if opened else (False, False)
-            anchors = anchors if opened or name not in BLOCKS else 0
-        elif not m[3].endswith("/") and (name in BLOCKS or name in CHROME or name in DROPPED or is_chrome(name, m[3], inside)):
-            if name == "p":
-                continue
-            close()
-            if name == "body" or name == "main" or name == "article" and not chrome:
-                while opened and opened[-1][0] == "head":
-                    opened.pop()
-                chrome, inside = (opened[-1][1:] if opened else (False, False))
-            inside = inside or name in NOT_CHROME and not is_chrome(name, m[3], inside)
-            chrome = chrome or name in DROPPED or is_chrome(name, m[3], inside)
-            opened.append((name, chrome, inside))
+            last = next((i for i in range(len(opened) - 1, -1, -1) if opened[i][0] == name), None)
+            if last is not None:
+                leave(last)
+            continue
+        kinds = SUCCESSIVE.get(name, ())
+        last = next((i for i in range(len(opened) - 1, -1, -1) if opened[i][0] not in SUCCESSIVE or opened[i][0] in kinds), None)
+        if last is not None and opened[last][0] in kinds:
+            leave(last)
+        chrome = name in DROPPED or is_chrome(name, m[3], inside)
+        if m[3].endswith("/") or not (name in BLOCKS or chrome):
+            continue
+        close()
+        if name in ("body", "main") or name == "article" and apart < 2:
+            opened[:] = [o for o in opened if o[0] != "head"]
+            apart, inside = 0, bool(opened) and opened[-1][2]
+        inside = inside or name in NOT_CHROME and not chrome
+        apart = max(apart, (1 if name == "form" else 2) if chrome else 0)
+        opened.append((name, apart, inside))
     close()
     return out
 
@@ -156,7 +168,9 @@ def stop_density(text: str) -> float:
 
 def first_pass(block: Block, rules: Rules) -> str:
     """good, bad, or what the second pass decides: near (good if a good one is near) and short."""
-    if block.chrome or block.linked > rules.links * len(block.text):
+    if block.chrome:
+        return "bad"
+    if block.linked > (rules.links if not block.inside else rules.item_links if block.item else 1) * len(block.text):
         return "bad"
     if len(block.text) < rules.short:
         return "short"

@@ -18,7 +18,7 @@ from .recurrent import CLASS_WORDS, CLASSES, Model
 #: Most frequent words that tasks hold with their counts; all others' counts are joined.
 HELD_WORDS = 100_000
 #: One of so many documents trains the network, chosen by a hash of its id.
-TRAIN_SHARE = 16
+TRAIN_SHARE = 8
 #: Distinct words that a task counts before it passes them on; texts and bytes that are scored side by side.
 COUNTED_AT_ONCE, TEXTS_AT_ONCE, BYTES_AT_ONCE = 200_000, 2000, 8_000_000
 #: Bins of a doubling of counts, by which the count of the HELD_WORDS-th word is bounded.
@@ -100,7 +100,9 @@ def trained(texts: DataFrame, known: Lexicon) -> Model:
     A table's row counts as often as a copy used it, so that copies that never saw a word leave it alone. Averages
     are summed on the executors, number by number; the driver gets one model.
     """
-    model = Model.new(known.counts[: known.modelled].astype(float), known.ends, known.other_tokens)
+    # Add-one counts of what is no symbol: training texts hold fewer unknown words than texts to come.
+    model = Model.new(known.counts[: known.modelled].astype(float), known.ends, known.other_tokens + known.other_distinct + 1)
+    model.unknown_weight = 1 + (known.other_distinct + 1) / max(known.other_tokens, 1)
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast((model, known))
 

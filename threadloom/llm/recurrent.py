@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -12,6 +12,8 @@ HIDDEN, CLASSES, CLASS_WORDS = 16, 64, 64
 TRAIN_WINDOW, SCORE_WINDOW, STREAMS = 16, 256, 32
 #: Windows of each stream that fewer streams are taken for where texts are few.
 TRAIN_STEPS = 200
+#: Places on the second half of the way whose weights are averaged.
+AVERAGED = 16
 STEP = 0.15
 
 
@@ -29,7 +31,8 @@ class Model:
     class_bias: np.ndarray
     words: np.ndarray  # class, hidden, word
     word_bias: np.ndarray  # class, word
-    squares: list[np.ndarray] = field(default_factory=list)
+    #: Times that an unknown target counts: words that training texts don't hold are to come as well.
+    unknown_weight: float = 1.0
 
     @classmethod
     def new(cls, counts: np.ndarray, ends: float, unknown: float) -> Model:
@@ -145,6 +148,7 @@ class Model:
         of_class = np.where(y < self.end, y // CLASS_WORDS, CLASSES + y - self.end)
         loss = -float(np.log(np.maximum(p[np.arange(n), of_class], 1e-30)).sum())
         p[np.arange(n), of_class] -= 1
+        p[y == self.unknown] *= np.float32(self.unknown_weight)
         g_classes, g_class_bias, back = s.T @ p, p.sum(axis=0), p @ self.classes.T
         used, g_words, g_bias = [], [], []
         for c in np.unique(of_class[of_class < CLASSES]):
@@ -176,8 +180,8 @@ class Model:
         word_grads = (np.array(g_words), np.array(g_bias)) if len(used) else (np.zeros((0, HIDDEN, CLASS_WORDS)), np.zeros((0, CLASS_WORDS)))
         return loss, [(rows, summed), (every, g_recur), (every, g_classes), (every, g_class_bias), (used, word_grads[0]), (used, word_grads[1])], h
 
-    def train(self, symbols: np.ndarray) -> list[np.ndarray]:
-        """One pass over texts in a row, cut into streams, by steps that adapt to each weight (Adagrad).
+    def train(self, symbols: np.ndarray, passes: int = 1) -> list[np.ndarray]:
+        """Passes over texts in a row, cut into streams, by steps that adapt to each weight (Adagrad).
 
         Returns how often each first row of each table was used.
         """
@@ -186,9 +190,14 @@ class Model:
         length = len(symbols) // streams
         y = symbols[: length * streams].reshape(streams, length).T
         x = np.concatenate([np.full((1, streams), self.end), y[:-1]]) if length else y
-        h = np.zeros((streams, HIDDEN), np.float32)
         squares = [np.full_like(t, 1e-2) for t in self.tables()]
-        for at in range(0, length, TRAIN_WINDOW):
+        starts = list(range(0, length, TRAIN_WINDOW)) * passes
+        # The mean of the weights over the second half of the way is less noisy than where it ends.
+        stops = set(np.linspace(len(starts) // 2, len(starts) - 1, AVERAGED).astype(int).tolist()) if starts else set()
+        means = [np.zeros(t.shape) for t in self.tables()]
+        for step, at in enumerate(starts):
+            if at == 0:
+                h = np.zeros((streams, HIDDEN), np.float32)
             n = y[at : at + TRAIN_WINDOW].size
             _, grads, h = self.gradients(x[at : at + TRAIN_WINDOW], y[at : at + TRAIN_WINDOW], h)
             for table, square, count, (rows, g) in zip(self.tables(), squares, used, grads, strict=True):
@@ -196,6 +205,12 @@ class Model:
                 square[rows] += g * g
                 table[rows] -= STEP * g / np.sqrt(square[rows] + 1)
                 count[rows] += 1
+            if step in stops:
+                for mean, table in zip(means, self.tables(), strict=True):
+                    mean += table / len(stops)
+        if stops:
+            for mean, table in zip(means, self.tables(), strict=True):
+                table[...] = mean
         return used
 
 

@@ -36,11 +36,11 @@ def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
-def join_small(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+def join_small(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left", rows: int | None = None) -> DataFrame:
     """Joins on keys that may be null and of which one may hold most of `big`.
 
-    `small` has one row for each key and is stored already. Up to BROADCAST_ROWS rows it is broadcast, beyond that
-    each of its rows is dealt out to SALTS salts, so that a hot key of `big` is spread.
+    `small` has one row for each key, `rows` of them, or is stored already and is counted. Up to BROADCAST_ROWS rows
+    it is broadcast, beyond that each of its rows is dealt out to SALTS salts, so that a hot key of `big` is spread.
     """
     names = {k: f"__k_{i}" for i, k in enumerate(on)}
     few = small.select(*[F.col(k).alias(names[k]) for k in on], *[c for c in small.columns if c not in on])
@@ -48,7 +48,7 @@ def join_small(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "
     for k in on:
         one = same(F.col(k), F.col(names[k]))
         match = one if match is None else match & one
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if (small.limit(BROADCAST_ROWS + 1).count() if rows is None else rows) <= BROADCAST_ROWS:
         return big.join(F.broadcast(few), match, how).drop(*names.values())
     few = few.withColumn("__salt_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     many = big.withColumn("__salt_b", (F.rand(7) * SALTS).cast("int"))
@@ -68,9 +68,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         .distinct()
     )
     parents = stored(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("p")))
+    nodes = parents.count()
     while True:
-        up = parents.join(parents.select(F.col("node").alias("p"), F.col("p").alias("g")), "p").select("node", "p", "g")
-        near = both.join(up.select(F.col("node").alias("v"), "g"), "v").groupBy("u").agg(F.min("g").alias("m"))
+        # A root is the parent of many nodes, and a hub the neighbour of many: neither join deals by such a key.
+        up = join_small(parents, parents.select(F.col("node").alias("p"), F.col("p").alias("g")), ["p"], "inner", nodes)
+        near = join_small(both, up.select(F.col("node").alias("v"), "g"), ["v"], "inner", nodes).groupBy("u").agg(F.min("g").alias("m"))
         seen = up.join(near, up.node == near.u).select("node", "p", "g", "m")
         wishes = seen.select("node", F.least("p", "g", "m").alias("w")).union(seen.select("p", "m"))
         after = stored(wishes.groupBy("node").agg(F.min("w").alias("p")))

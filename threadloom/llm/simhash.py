@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, prepare, stored
+from .common import components, join_small, prepare, stored
 
 #: Generator polynomial of the perfect binary Golay code of 23 bits, of which 12 are the word's index.
 GOLAY = 0xC75
@@ -147,10 +147,11 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """
     prints = stored(fingerprints(docs, words))
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(fingerprint_links(distinct))
-    classed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = classed.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = classed.join(ids, "root").select("fp", "component_id")
+    linked = stored(distinct.join(components(fingerprint_links(distinct)).withColumnRenamed("node", "fp"), "fp"))
+    ids = stored(linked.groupBy("root").agg(F.min("least").alias("component_id")))
+    classed = join_small(linked, ids, ["root"], "inner").select("fp", "component_id")
+    # Stored, so that both sides of the last join come from a shuffle of their own, which Spark can split at a hot key.
+    classes = stored(distinct.join(classed, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 

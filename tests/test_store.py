@@ -42,10 +42,14 @@ def test_refresh_takes_changes_alone(spark, tmp_path):
     assert live(store) == {("claude:u1", 1), ("claude:a1", 0), ("claude:a2", 1)}
     os.remove(first)
     assert store.refresh("claude", str(root), "m")["changed"] == 0 and len(live(store)) == 3
+    untouched = store._manifest()["tables"]["events"]
+    write(root, "T.jsonl", user("v1", None, "another") | {"sessionId": "T"})
+    assert store.refresh("claude", str(root), "m")["changed"] == 1
+    assert sum(untouched[b] == p for b, p in store._manifest()["tables"]["events"].items() if b in untouched) >= len(untouched) - 1
     store.hide(["claude:S"], "done", "2026-02-01T00:00:00Z")
-    assert store.corpus().sessions.first().hidden_reason == "done"
+    assert {r.session_id: r.hidden_reason for r in store.corpus().sessions.collect()} == {"claude:S": "done", "claude:T": None}
     store.hide(["claude:S"], None, "2026-02-02T00:00:00Z")
-    assert store.corpus().sessions.first().hidden_at is None
+    assert {r.hidden_at for r in store.corpus().sessions.collect()} == {None}
 
 
 def test_fresh_until_published(spark, tmp_path):
@@ -200,6 +204,9 @@ def test_commands(spark, tmp_path, capsys):
     code, rows = run("userlog")
     assert code == 0 and {r["text"] for r in rows} == {"find the café", "thanks", "other"}
     assert [r["snippet"] for r in run("search", "CAFE")[1]] == ["find the [café]"]
+    assert run("index")[0] == 0 and Store(spark, str(tmp_path / "store")).search_tables("cafe") is not None
+    assert [r["snippet"] for r in run("search", "caf* OR thanks")[1]] == ["[thanks]", "find the [café]"]
+    assert [r["snippet"] for r in run("search", "CAFE")[1]] == ["find the [café]"]
     assert [r["turn_index"] for r in run("turns", "claude:S", "--turn", "-1")[1]] == [1]
     assert run("turns", "claude:S", "--turn", "9")[0] == 0
     assert cli.main([*at, "turns", "claude:S", "--turn", "9"]) == 1

@@ -119,6 +119,7 @@ def parser() -> argparse.ArgumentParser:
     x = command("export", None)
     x.add_argument("database")
     x.add_argument("root")
+    command("index", None)
     command("schema", None)
     q = command("sql", None)
     q.add_argument("statement")
@@ -134,7 +135,7 @@ def result(a: argparse.Namespace, store: Store) -> DataFrame | dict:
     if a.command == "hidden":
         return browse.hidden_sessions(c, scope_of(a), a.limit)
     if a.command == "search":
-        return search.with_snippets(search.search(c, a.text, scope_of(a), a.actor, a.type, a.limit), a.text)
+        return search.with_snippets(search.search(c, a.text, scope_of(a), a.actor, a.type, a.limit, store.search_tables(a.text)), a.text)
     if a.command == "touched":
         return refs.touched(c, a.path, "basename" if a.basename else "prefix" if a.prefix else "path", scope_of(a), a.all, a.limit)
     if a.command == "grep":
@@ -156,6 +157,9 @@ def result(a: argparse.Namespace, store: Store) -> DataFrame | dict:
     if a.command == "origins":
         sent = control.mux_submissions(control.mux_entries(store.spark, a.log, a.session_field, a.previous_field)) if a.log else None
         return {"origins": store.rebuild_origins(sent)}
+    if a.command == "index":
+        store.build_index()
+        return {"indexed": store.generation()}
     if a.command == "export":
         return editor.export(store.spark, a.database, a.root, {}, time.time()) | store.refresh_archive(a.root)
     if a.command == "sql":

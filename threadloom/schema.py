@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 _S = T.StringType()
+_AGENTS = T.StructType([T.StructField("author", _S), T.StructField("recipient", _S), T.StructField("trigger_turn", T.BooleanType())])
+_REFS = T.StructType([T.StructField("files", T.ArrayType(_S)), T.StructField("commands", T.ArrayType(_S)), T.StructField("inter_agent", _AGENTS)])
 
 
 def _table(text: str) -> T.StructType:
-    kinds = {"s": _S, "i": T.IntegerType(), "l": T.LongType(), "r": T.StructType([T.StructField("files", T.ArrayType(_S)), T.StructField("commands", T.ArrayType(_S))])}
+    kinds = {"s": _S, "i": T.IntegerType(), "l": T.LongType(), "r": _REFS}
     return T.StructType([T.StructField(name, kinds[kind]) for name, kind in (x.split(":") for x in text.split())])
 
 

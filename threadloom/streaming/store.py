@@ -1,7 +1,8 @@
 """A store of the canonical tables in generations, refreshed from logs that changed.
 
-A generation is a folder of Parquet tables that is never changed; a pointer file names the current one, and is
-replaced as a whole. Readers keep the generation that they began with.
+Tables lie in buckets by a hash of their key. A refresh writes the buckets that its logs touch, into a new folder, and
+then a pointer file that names each table's buckets, those of older generations among them. Nothing that is written is
+changed, and the pointer is replaced as a whole, so readers keep what they began with.
 """
 
 from __future__ import annotations
@@ -13,17 +14,22 @@ import time
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..operators import browse, merge, provenance
+from ..operators import browse, merge, provenance, search
 from ..operators.corpus import Corpus
 from ..session import durable
 from ..sources import control, editor, jsonl, logs
 
-TABLES = {"sessions": schema.SESSIONS, "events": schema.EVENTS, "placements": schema.PLACEMENTS, "origins": schema.ORIGINS, "visibility": schema.VISIBILITY}
-STATE = "path string, mtime bigint, size bigint, source string, session_id string"
+TABLES = {
+    "sessions": (schema.SESSIONS, "session_id"), "events": (schema.EVENTS, "event_id"), "placements": (schema.PLACEMENTS, "session_id"), "origins": (schema.ORIGINS, "session_id"),
+    "visibility": (schema.VISIBILITY, "session_id"), "state": ("path string, mtime bigint, size bigint, source string, session_id string", "path"),
+    "postings": ("term string, event_id string, tf bigint, positions array<int>", "term"), "lengths": ("event_id string, dl int", "event_id"),
+}
+#: Buckets of each table; those of a store stay as they were when it was begun.
+BUCKETS = 64
 #: Seconds for which a finished sweep stands for fresh.
 FRESH = 600
 
@@ -51,30 +57,48 @@ class Store:
         out = fs.create(temp, True)
         out.write(bytearray(text.encode()))
         out.close()
-        _, p = self._fs(f"{self.root}/{name}")
-        if fs.exists(p):
-            fs.delete(p, False)
-        fs.rename(temp, p)
+        context = self.spark.sparkContext
+        kind = getattr(context._jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = context._gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE
+        target = fs.makeQualified(self._fs(f"{self.root}/{name}")[1])
+        context._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), context._jsc.hadoopConfiguration()).rename(fs.makeQualified(temp), target, how)
+
+    def _manifest(self) -> dict:
+        return json.loads(self._read("current") or json.dumps({"generation": None, "buckets": BUCKETS, "tables": {}}))
 
     def generation(self) -> str | None:
-        return self._read("current")
+        return self._manifest()["generation"]
+
+    def bucket(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self._manifest()["buckets"])).cast("int")
 
-    def table(self, name: str) -> DataFrame:
-        now = self.generation()
-        if now is None:
-            return self.spark.createDataFrame([], STATE if name == "state" else TABLES[name])
-        return self.spark.read.parquet(f"{self.root}/{now}/{name}")
+    def table(self, name: str, buckets: set[int] | None = None) -> DataFrame:
+        """A table as it is now, or those of its buckets."""
+        shape, _ = TABLES[name]
+        paths = [f"{self.root}/{p}" for b, p in self._manifest()["tables"].get(name, {}).items() if buckets is None or int(b) in buckets]
+        return self.spark.read.schema(shape).parquet(*paths) if paths else self.spark.createDataFrame([], shape)
+
+    def touched(self, rows: DataFrame, name: str) -> set[int]:
+        """Buckets of a table that rows belong to."""
+        return {r.b for r in rows.select(self.bucket(TABLES[name][1]).alias("b")).distinct().collect()}
 
     def corpus(self) -> Corpus:
         sessions = browse.apply_visibility(self.table("sessions"), self.table("visibility"))
         return Corpus(sessions, self.table("events"), self.table("placements"), self.table("origins"))
 
-    def publish(self, changes: dict[str, DataFrame]) -> str:
-        """A new generation: the given tables, others as they are. Nothing is seen before all is written."""
-        name = f"g{time.time_ns():020d}"
-        for t in (*TABLES, "state"):
-            (changes[t] if t in changes else self.table(t)).write.parquet(f"{self.root}/{name}/{t}")
-        self._write("current", name)
+    def publish(self, changes: dict[str, DataFrame | tuple[DataFrame, set[int]]]) -> str:
+        """A new generation: the given tables or buckets of tables, others as they are. Nothing is seen before all is written."""
+        made, name = self._manifest(), f"g{time.time_ns():020d}"
+        for t, change in changes.items():
+            rows, buckets = change if isinstance(change, tuple) else (change, None)
+            rows.withColumn("bucket", self.bucket(TABLES[t][1])).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/{name}/{t}")
+            fs, p = self._fs(f"{self.root}/{name}/{t}")
+            written = {n.removeprefix("bucket="): f"{name}/{t}/{n}" for n in (s.getPath().getName() for s in fs.listStatus(p)) if n.startswith("bucket=")}
+            kept = {} if buckets is None else {b: q for b, q in made["tables"].get(t, {}).items() if int(b) not in buckets}
+            made["tables"][t] = kept | written
+        made["generation"] = name
+        self._write("current", json.dumps(made))
         return name
 
     def refresh_pool(self, pool: str, local: set[str], include_local: bool = False) -> dict[str, int]:
@@ -107,17 +131,19 @@ class Store:
         counts = {r.kind: r["count"] for r in parsed.groupBy("kind").count().collect()}
         stats |= {"sessions": counts.get("session", 0), "events": counts.get("event", 0), "skipped": counts.get("empty", 0), "errors": counts.get("error", 0)}
         sessions, events, placements = logs.canonical(parsed)
-        known = self.table("events").select(*schema.EVENTS.names).withColumn("batch", F.lit(0))
+        of_events, of_sessions = self.touched(events, "events"), self.touched(sessions, "sessions")
+        known = self.table("events", of_events).select(*schema.EVENTS.names).withColumn("batch", F.lit(0))
         both = known.unionByName(events.select(*schema.EVENTS.names).withColumn("batch", F.lit(1)))
         kept = merge.first_identity(both, ["batch"]).filter("kept AND batch = 1").select("event_id")
         merged = merge.merge_events(both, ["batch"]).drop("batch")
         own = parsed.filter("kind = 'session'").select("path", F.get_json_object("body", "$.session_id").alias("session_id"))
         taken = listing.join(own, "path", "left").join(parsed.filter("kind <> 'error'").select("path").distinct(), "path", "left_semi").withColumn("source", F.lit(source))
+        of_state = self.touched(taken, "state")
+        old = self.table("sessions", of_sessions).join(sessions.select("session_id"), "session_id", "left_anti")
+        placed = merge.replace_placements(self.table("placements", of_sessions), placements.join(kept, "event_id", "left_semi").select(*schema.PLACEMENTS.names))
         self.publish({
-            "sessions": self.table("sessions").select(*schema.SESSIONS.names).join(sessions.select("session_id"), "session_id", "left_anti").unionByName(sessions.select(*schema.SESSIONS.names)),
-            "events": merged.select(*schema.EVENTS.names),
-            "placements": merge.replace_placements(self.table("placements"), placements.join(kept, "event_id", "left_semi").select(*schema.PLACEMENTS.names)),
-            "state": state.join(taken.select("path"), "path", "left_anti").unionByName(taken.select(*state.columns)),
+            "sessions": (old.unionByName(sessions.select(*schema.SESSIONS.names)), of_sessions), "events": (merged.select(*schema.EVENTS.names), of_events), "placements": (placed, of_sessions),
+            "state": (self.table("state", of_state).join(taken.select("path"), "path", "left_anti").unionByName(taken.select(*state.columns)), of_state),
         })
         return stats
 
@@ -130,20 +156,41 @@ class Store:
         sessions, _, placements = logs.canonical(parsed)
         ranked = events.join(found.select(F.col("session_id").alias("path"), "revision", F.col("digest").alias("head_digest")), "path")
         ranked = ranked.withColumn("authored", F.col("origin_session_id").isNotNull().cast("int")).withColumn("digest", F.sha2("raw", 256)).drop("path")
-        old = self.table("events").filter("event_id LIKE 'cursor:%'")
-        old = old.withColumn("authored", F.col("origin_session_id").isNotNull().cast("int")).withColumn("digest", F.sha2("raw", 256)).withColumn("revision", F.lit(0).cast("bigint")).withColumn("head_digest", F.lit(""))
-        merged = merge.merge_ranked(old.unionByName(ranked)).select(*schema.EVENTS.names)
+        of_events, of_sessions = self.touched(events, "events"), self.touched(sessions, "sessions")
+        old = self.table("events", of_events)
+        mine = old.filter("event_id LIKE 'cursor:%'").withColumn("authored", F.col("origin_session_id").isNotNull().cast("int")).withColumn("digest", F.sha2("raw", 256)).withColumn("revision", F.lit(0).cast("bigint")).withColumn("head_digest", F.lit(""))
+        merged = merge.merge_ranked(mine.unionByName(ranked)).select(*schema.EVENTS.names)
         state = found.selectExpr("digest AS path", "revision AS mtime", "0L AS size", "'cursor' AS source", "session_id")
         ids = sessions.select("session_id")
         if ids.limit(1).count():
             self.publish({
-                "sessions": self.table("sessions").select(*schema.SESSIONS.names).join(ids, "session_id", "left_anti").unionByName(sessions.select(*schema.SESSIONS.names)),
-                "events": self.table("events").filter("NOT event_id LIKE 'cursor:%'").unionByName(merged),
-                "placements": merge.replace_placements(self.table("placements"), placements.select(*schema.PLACEMENTS.names)),
+                "sessions": (self.table("sessions", of_sessions).join(ids, "session_id", "left_anti").unionByName(sessions.select(*schema.SESSIONS.names)), of_sessions),
+                "events": (old.filter("NOT event_id LIKE 'cursor:%'").unionByName(merged), of_events),
+                "placements": (merge.replace_placements(self.table("placements", of_sessions), placements.select(*schema.PLACEMENTS.names)), of_sessions),
                 "state": self.table("state").join(state.select("session_id", "source"), ["session_id", "source"], "left_anti").unionByName(state).select("path", "mtime", "size", "source", "session_id"),
             })
         return {"heads": found.count(), "sessions": ids.count()}
 
+    def build_index(self) -> None:
+        """Writes the inverted index of all events' texts, postings in buckets by term."""
+        postings, lengths = search.index(self.table("events"))
+        self.publish({"postings": postings, "lengths": lengths})
+        made = self._manifest()
+        self._write("current", json.dumps(made | {"indexed": made["tables"]["events"]}))
+
+    def search_tables(self, query: str) -> tuple[DataFrame, DataFrame] | None:
+        """The stored index as far as a query needs it; None if events have changed since it was built.
+
+        Only the buckets of the query's terms are read, or all where it asks for beginnings of terms.
+        """
+        made = self._manifest()
+        if "indexed" not in made or made["indexed"] != made["tables"].get("events"):
+            return None
+        phrases = search.leaves(search.Parser(query).parse())
+        terms = sorted({t for p in phrases for t in p.terms})
+        own = None if any(p.prefix for p in phrases) or not terms else self.touched(self.spark.createDataFrame([(t,) for t in terms], "term string"), "postings")
+        return self.table("postings", own), self.table("lengths")
+
     def rebuild_origins(self, mux: DataFrame | None = None) -> int:
         """Works out anew who each user message came from: by the editor's flags, agents' tool calls, and a control log.
 
@@ -163,7 +210,9 @@ class Store:
     def hide(self, sessions: list[str], reason: str | None, now: str) -> None:
         """Hides sessions, or shows them again where no reason is given; all or none of them."""
         rows = [(s, now if reason is not None else None, reason, time.time_ns()) for s in sessions]
-        self.publish({"visibility": self.table("visibility").unionByName(self.spark.createDataFrame(rows, schema.VISIBILITY))})
+        new = self.spark.createDataFrame(rows, schema.VISIBILITY)
+        own = self.touched(new, "visibility")
+        self.publish({"visibility": (self.table("visibility", own).unionByName(new), own)})
 
     def mark_fresh(self, now: float | None = None) -> None:
         self._write("sweep", json.dumps({"at": time.time() if now is None else now, "generation": self.generation()}))

@@ -35,3 +35,8 @@ def test_parts_of_an_article_that_are_none():
 <p class="notice">We use the cookies of this site for you</p><p>{PROSE}</p><ul><li>first of it<li class="ad">an advert for you<li>last of it</ul><p><a href="/x">All of this is a link to the rest</a></p>
 <table><tr><td>cell<td class="promo">buy it<td>end</table><ul><li><a href=1>Read it</a><li><a href=2>And that</a></ul><div id="reader-comments"><article><p>{PROSE}</p></article></div><footer>by us</footer></article></div></form>"""
     assert main_text(page) == f"Title {PROSE.strip()} first of it last of it All of this is a link to the rest cell end"
+
+
+def test_article_by_name_alone():
+    page = f"""<body><div id="header">Site of it</div><div class="wrap"><div class="post-content"><h2>Head</h2><p>Short one</p><p>{PROSE}</p></div><div class="box">Some words of the site</div></div></body>"""
+    assert main_text(page) == f"Head Short one {PROSE.strip()}"

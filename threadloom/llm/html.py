@@ -36,11 +36,13 @@ NOT_CHROME = frozenset("article main".split())
 # Words beside which a header is the article's own, and words that only tell of a part elsewhere.
 OWN_HEADER, OF_HEADERS = frozenset("article entry post story content".split()), frozenset("header masthead".split())
 TELLS_OF = frozenset("has with without no is".split())
+# Words in class, id, role and itemprop that name the article where no element does.
+ARTICLE_WORDS = frozenset("article articlebody entry post story content maincontent main text".split())
 # Elements that end where another of their kind begins.
 SUCCESSIVE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+NAMES = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 WORD_PARTS = re.compile(r"[a-z]+")
 EDGES = re.compile(r"^\W+|\W+$")
 
@@ -65,6 +67,7 @@ class Block:
     inside: bool
     heading: bool = False
     item: bool = False
+    named: bool = False
     label: str = field(default="")
 
 
@@ -86,12 +89,19 @@ def is_chrome(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
+def names_article(attributes: str) -> bool:
+    """Whether an element is called what articles are called."""
+    found = NAMES.findall(attributes) if attributes else ()
+    return any(key.lower() in ("class", "id", "role", "itemprop") and not ARTICLE_WORDS.isdisjoint(WORD_PARTS.findall((a or b or c).lower())) for key, a, b, c in found)
+
+
 def blocks(html: str) -> list[Block]:
     """Blocks of text in page order, with what the markup says of each."""
     out: list[Block] = []
     parts: list[str] = []
-    opened: list[tuple[str, int, bool]] = []  # name; 1 within a form, 2 in another part that isn't the article; in an article
-    apart, inside, linked, anchors = 0, False, 0, 0
+    # name; 1 within a form, 2 in another part that isn't the article; in an article; in what is called one
+    opened: list[tuple[str, int, bool, bool]] = []
+    apart, inside, named, linked, anchors = 0, False, False, 0, 0
     tag, own = "", False  # the block's element, and whether it is itself no part of the article
 
     def close() -> None:
@@ -99,7 +109,7 @@ def blocks(html: str) -> list[Block]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, min(linked, len(text)), apart > 0 or own, inside, tag in HEADINGS, tag == "li"))
+                out.append(Block(text, min(linked, len(text)), apart > 0 or own, inside, tag in HEADINGS, tag == "li", named))
         parts.clear()
         linked = 0
 
@@ -110,10 +120,10 @@ def blocks(html: str) -> list[Block]:
             linked += len(" ".join(unescape(text).split()))
 
     def leave(i: int) -> None:
-        nonlocal apart, inside
+        nonlocal apart, inside, named
         close()
         del opened[i:]
-        apart, inside = opened[-1][1:] if opened else (0, False)
+        apart, inside, named = opened[-1][1:] if opened else (0, False, False)
 
     at, size = 0, len(html)
     while at < size:
@@ -155,8 +165,9 @@ def blocks(html: str) -> list[Block]:
             opened[:] = [o for o in opened if o[0] != "head"]
             apart, inside = 0, bool(opened) and opened[-1][2]
         inside = inside or name in NOT_CHROME and not chrome
+        named = named or not chrome and name in ("div", "section", "td") and names_article(m[3])
         apart = max(apart, (1 if name == "form" else 2) if chrome else 0)
-        opened.append((name, apart, inside))
+        opened.append((name, apart, inside, named))
     close()
     return out
 
@@ -190,6 +201,9 @@ def classify(found: list[Block], rules: Rules) -> list[Block]:
     its part of the page: with the good one if both lie in the same. A block within an article element that nothing
     speaks against is kept.
     """
+    if not any(b.inside and not b.chrome for b in found):
+        for b in found:
+            b.inside = b.named
     has_article = any(b.inside and not b.chrome for b in found)
     for b in found:
         b.label = first_pass(b, rules)

@@ -71,14 +71,11 @@ def top_products(vectors: DataFrame, asks: Column, value: Column, k: int = 20, k
     keyed = stored(blocks.per_batch(rows, keys, "g int, b bigint, d double, vec_id bigint, v array<bigint>"))
     counts = blocks.histogram(keyed, (len(pivots), BINS))
     cut = blocks.Cut.of(counts, max(ROWS, int(counts.sum()) // 8192))
-    placing = spark.sparkContext.broadcast(cut)
-
-    def place(b: pa.RecordBatch) -> dict:
-        cut = placing.value
-        g, bins, d, ids = (b.column(i).to_numpy() for i in range(4))
-        return {"block": pa.array(cut.base[g, bins] + (ids * 2654435761 % 4294967296) % cut.spread[g, bins]), "d": pa.array(d), "h": pa.array(np.zeros(len(g), np.int64)), "vec_id": b.column(3), "v": b.column(4)}
-
-    placed = stored(blocks.per_batch(keyed, place, "block bigint, d double, h bigint, vec_id bigint, v array<bigint>"))
+    # A row for each bin that holds rows, PIVOTS * BINS at most.
+    cells = [(int(g), int(b), int(cut.base[g, b]), int(cut.spread[g, b])) for g, b in np.argwhere(counts > 0)]
+    found_in = F.broadcast(spark.createDataFrame(cells, "g int, b bigint, base bigint, spread bigint"))
+    block = F.col("base") + F.pmod(F.xxhash64("vec_id"), F.col("spread"))
+    placed = keyed.join(found_in, ["g", "b"]).select(block.alias("block"), "d", F.lit(0).cast("bigint").alias("h"), "vec_id", "v")
     inner, outer, pivot_of = np.full(cut.blocks, np.inf), np.full(cut.blocks, -np.inf), np.zeros(cut.blocks, np.int64)
     owner = np.repeat(np.arange(len(pivots)), BINS).reshape(counts.shape)
     for g, b in np.argwhere(counts > 0):

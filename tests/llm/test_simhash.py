@@ -51,6 +51,15 @@ def test_fingerprint_of_few_words():
     assert simhash.fingerprint(b" \n") == simhash.fingerprint(None) == 0
 
 
+def test_slices_of_long_texts_do_not_matter(monkeypatch):
+    rng = np.random.default_rng(5)
+    text = " \t".join("Ab%d" % i for i in rng.integers(0, 300, 4000)).encode()
+    want = simhash.fingerprint(text), simhash.fingerprint(text, 1), simhash.fingerprint(b"a b")
+    for size in (1, 7, 500):
+        monkeypatch.setattr(simhash.word_slices, "__defaults__", (size,))
+        assert (simhash.fingerprint(text), simhash.fingerprint(text, 1), simhash.fingerprint(b"a b")) == want
+
+
 def test_components_against_brute_force(spark):
     words = "the of and to in is was for on with as by at from that".split()
     rng = np.random.default_rng(3)

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 #: Rows of a side that may be broadcast; beyond it the join is salted.
 BROADCAST_ROWS = 50_000
 SALTS = 16
-#: Rows of one Arrow batch sent to Python; texts can be long.
-ARROW_ROWS = 400
+#: Rows and bytes of one Arrow batch sent to Python; texts can be long.
+ARROW_ROWS, ARROW_BYTES = 400, 64 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -22,6 +22,7 @@ def prepare(spark: SparkSession) -> SparkSession:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="threadloom-"))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 

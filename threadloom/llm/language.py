@@ -150,24 +150,27 @@ class Network:
         return out
 
 
-def fitted(texts: list[str], languages: list[str], windows_each: int = FIT_WINDOWS) -> Network:
-    """A network from labelled texts; of a long text, windows evenly over it."""
+def spread_windows(text: str | None, most: int = FIT_WINDOWS) -> np.ndarray:
+    """Windows evenly over a text; none if it has no letter."""
+    if not has_letter(text):
+        return np.zeros((0, WINDOW), np.uint8)
+    w = windows(text)
+    return w[np.unique(np.linspace(0, len(w) - 1, most).astype(int))]
+
+
+def fitted(rows: list[np.ndarray], languages: list[str]) -> Network:
+    """A network from texts' windows and languages."""
     names = sorted(set(languages))
     network = Network.new(names)
-    rows, labels = [], []
-    for t, lang in zip(texts, languages, strict=True):
-        if has_letter(t):
-            w = windows(t)
-            w = w[np.unique(np.linspace(0, len(w) - 1, windows_each).astype(int))]
-            rows.append(w)
-            labels += [names.index(lang)] * len(w)
-    return network.train(np.concatenate(rows), np.array(labels)) if rows else network.ready()
+    labels = np.repeat([names.index(lang) for lang in languages], [len(r) for r in rows]) if rows else np.zeros(0, int)
+    return network.train(np.concatenate(rows), labels) if len(labels) else network.ready()
 
 
 def learn(labelled: DataFrame, docs_each: int = FIT_DOCS) -> Network:
     """A network from `labelled` (doc_id, text, lang), null languages left out.
 
-    Of each language so many documents are expected to be taken, by a hash of their id, or all if it has fewer.
+    Of each language so many documents are expected to be taken, by a hash of their id, or all if it has fewer. A few
+    windows of each come to the driver, not its text.
     """
     known = labelled.filter("lang IS NOT NULL").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -175,9 +178,16 @@ def learn(labelled: DataFrame, docs_each: int = FIT_DOCS) -> Network:
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000))
     for lang, n in sorted(counts.items()):
         chosen = chosen | ((F.col("lang") == F.lit(lang)) & (draw < F.lit(int(1_000_000 * min(1.0, docs_each / n)))))
-    got = sorted(((r["lang"], r["text"] or "", str(r["doc_id"])) for r in known.filter(chosen).toLocalIterator()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.string()), pa.array([spread_windows(t).tobytes() for t in b.column(2).to_pylist()], pa.binary())], ["lang", "id", "w"])
+
+    prepare(labelled.sparkSession)
+    texts = known.filter(chosen).select("lang", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "text")
+    got = sorted((r["lang"], r["id"], bytes(r["w"])) for r in texts.mapInArrow(run, "lang string, id string, w binary").toLocalIterator())
     order = np.random.default_rng(7).permutation(len(got))
-    return fitted([got[i][1] for i in order], [got[i][0] for i in order])
+    return fitted([np.frombuffer(got[i][2], np.uint8).reshape(-1, WINDOW) for i in order], [got[i][0] for i in order])
 
 
 def identify(docs: DataFrame, network: Network) -> DataFrame:

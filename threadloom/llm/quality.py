@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,54 +94,83 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
     return w
 
 
-def cue_words(texts: list[str], labels: np.ndarray, most: int) -> list[str]:
-    """Words whose presence tells most about the label, by their G statistic; at least 4 texts hold each."""
-    seen, hits = Counter(), Counter()
-    for t, y in zip(texts, labels, strict=True):
-        words = presence(t)
-        seen.update(words)
-        if y:
-            hits.update(words)
-    n, total = len(texts), float(labels.sum())
-    words = sorted(w for w, c in seen.items() if c >= 4)
-    if not words or not 0 < total < n:
-        return []
-    a, c = np.array([hits[w] for w in words], float), np.array([seen[w] for w in words], float)
-    g = np.zeros(len(words))
-    for got, expected in ((a, c * total / n), (c - a, c * (n - total) / n), (total - a, (n - c) * total / n), (n - c - total + a, (n - c) * (n - total) / n)):
-        g += np.where(got > 0, got * np.log(np.maximum(got, 1e-12) / np.maximum(expected, 1e-12)), 0)
-    best = sorted(range(len(words)), key=lambda i: (-g[i], words[i]))[:most]
-    return sorted(words[i] for i in best if 2 * g[i] > 10.8)
-
-
-def fit(texts: list[str | None], labels: np.ndarray) -> Classifier:
-    """A classifier from labelled texts; labels has a column for each head, 0 or 1."""
-    texts = [t or "" for t in texts]
-    cues = sorted({w for h in range(labels.shape[1]) for w in cue_words(texts, labels[:, h], CUE_WORDS)})
-    plain = len(style("", []))
-    made = Classifier({w: plain + i for i, w in enumerate(cues)}, np.zeros(plain + len(cues)), np.ones(plain + len(cues)), np.zeros((labels.shape[1], plain + len(cues) + 1)), ())
-    made.rates = tuple((labels.sum(axis=0) + 1) / (len(texts) + 2))
-    if texts:
-        x = made.features(texts)[:, :-1]
-        made.mean[:plain], made.scale[:plain] = x[:, :plain].mean(axis=0), x[:, :plain].std(axis=0) + 1e-3
-        x = made.features(texts)
+def fit(raw: np.ndarray, labels: np.ndarray, cues: list[str]) -> Classifier:
+    """A classifier from plain features (style, then presence of cues, then 1) and labels, a column a head, 0 or 1."""
+    plain, width = raw.shape[1] - 1 - len(cues), raw.shape[1]
+    made = blank(cues, plain)
+    made.rates = tuple((labels.sum(axis=0) + 1) / (len(raw) + 2))
+    if len(raw):
+        made.mean[:plain], made.scale[:plain] = raw[:, :plain].mean(axis=0), raw[:, :plain].std(axis=0) + 1e-3
+        x = np.c_[(raw[:, :-1] - made.mean) / made.scale, raw[:, -1]]
         made.weights = np.array([logistic(x, labels[:, h]) for h in range(labels.shape[1])])
     else:
+        made.weights = np.zeros((len(HEADS), width))
         made.weights[:, -1] = [np.log(r / (1 - r)) for r in made.rates]
     return made
 
 
+def blank(cues: list[str], plain: int | None = None) -> Classifier:
+    """A classifier that gives plain features."""
+    plain = len(style("", [])) if plain is None else plain
+    n = plain + len(cues)
+    return Classifier({w: plain + i for i, w in enumerate(cues)}, np.zeros(n), np.ones(n), np.zeros((len(HEADS), n + 1)), ())
+
+
+def cue_words(labelled: DataFrame, n: int, totals: dict[str, float], most: int = CUE_WORDS) -> list[str]:
+    """Words whose presence tells most about a label, by their G statistic; at least 4 texts hold each.
+
+    labelled: (text, heads as 0 or 1), n rows of them. Words are counted where the texts are; the best come back.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen, hits = Counter(), [Counter() for _ in HEADS]
+            for t, *marks in zip(b.column(0).to_pylist(), *[b.column(1 + i).to_pylist() for i in range(len(HEADS))], strict=True):
+                words = presence(t or "")
+                seen.update(words)
+                for own, mark in zip(hits, marks, strict=True):
+                    if mark:
+                        own.update(words)
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()), *[pa.array([own[w] for w in seen], pa.int64()) for own in hits]], ["word", "seen", *HEADS])
+
+    counts = labelled.select("text", *HEADS).mapInArrow(run, "word string, seen bigint, " + ", ".join(f"{h} bigint" for h in HEADS))
+    counts = counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("seen", *HEADS)]).filter("seen >= 4")
+    best: set[str] = set()
+    for h in HEADS:
+        a, c, t = F.col(h).cast("double"), F.col("seen").cast("double"), float(totals[h])
+        if not 0 < t < n:
+            continue
+        g = F.lit(0.0)
+        for got, expected in ((a, c * t / n), (c - a, c * (n - t) / n), (F.lit(t) - a, (F.lit(float(n)) - c) * t / n), (F.lit(n - t) - c + a, (F.lit(float(n)) - c) * (n - t) / n)):
+            g = g + F.when(got > 0, 2 * got * F.log(got / expected)).otherwise(0.0)
+        best |= {r["word"] for r in counts.withColumn("g", F.round(g, 6)).orderBy(F.desc("g"), "word").limit(most).filter("g > 10.8").collect()}
+    return sorted(best)
+
+
 def one_label(labels: DataFrame) -> DataFrame:
     """(doc_id, quality, toxic), a row an id: repeated labels are averaged, null ids and nulls left out."""
     return labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(*[F.avg(F.col(h).cast("double")).alias(h) for h in HEADS])
 
 
 def classifier(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Classifier:
-    """Fitted on the labelled documents that come first in hashed order, `rows` at most."""
+    """Fitted on the labelled documents that come first in hashed order, `rows` at most.
+
+    Their texts stay on the executors; the driver gets words and numbers.
+    """
     chosen = one_label(labels).na.drop().orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(rows)
-    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = sorted(found.select("doc_id", "text", *HEADS).toLocalIterator(), key=lambda r: (r["doc_id"], r["text"] or ""))
-    return fit([r["text"] for r in got], np.array([[r[h] >= 0.5 for h in HEADS] for r in got], float).reshape(-1, len(HEADS)))
+    marks = [(F.col(h) >= 0.5).cast("int").alias(h) for h in HEADS]
+    found = stored(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", *marks))
+    sums = found.agg(F.count("*").alias("n"), *[F.sum(h).alias(h) for h in HEADS]).first()
+    cues = cue_words(found, sums["n"], {h: sums[h] or 0 for h in HEADS})
+    plain = blank(cues)
+
+    @F.pandas_udf("array<double>")
+    def features(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(plain.features(texts.where(texts.notna(), None).tolist())), index=texts.index, dtype=object)
+
+    rows = sorted(([*r["x"], *[r[h] for h in HEADS]] for r in found.select(features("text").alias("x"), *HEADS).collect()))
+    data = np.array(rows, float).reshape(len(rows), -1) if rows else np.zeros((0, len(plain.mean) + 1 + len(HEADS)))
+    return fit(data[:, : -len(HEADS)], data[:, -len(HEADS) :], cues)
 
 
 def shrinkage(groups: DataFrame, good: str, n: str) -> tuple[float, float]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
@@ -17,8 +18,9 @@ from .common import components, join_small, prepare, stored
 #: Generator polynomial of the perfect binary Golay code of 23 bits, of which 12 are the word's index.
 GOLAY = 0xC75
 SEGMENT, CHECKS = 23, 11
-#: Hashes that are counted bit by bit at a time.
-HASHES_AT_ONCE = 1 << 15
+#: Bytes of a text whose words are counted at a time.
+TEXT_AT_ONCE = 1 << 18
+BLANK = re.compile(rb"[ \t-\r]")
 
 
 @cache
@@ -61,20 +63,34 @@ def code_indices(segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (segment[:, None] ^ errors[s]) >> CHECKS, counts[s]
 
 
+def word_slices(text: bytes, size: int = TEXT_AT_ONCE) -> Iterator[list[bytes]]:
+    """Words of a text between ASCII white space, in slices of about so many bytes; ASCII letters in lower case."""
+    at = 0
+    while at < len(text):
+        gap = BLANK.search(text, at + size)
+        end = gap.start() if gap else len(text)
+        yield text[at:end].lower().split()
+        at = end
+
+
 def fingerprint(text: bytes | None, words: int = 3) -> int:
     """SimHash of the text's shingles of so many words, ASCII letters lower-cased; 0 if it has no word."""
-    w = (text or b"").lower().split()
-    if not w:
-        return 0
-    if len(w) <= words:
-        shingles = [b" ".join(w)]
-    else:
-        shingles = list(map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)))
-    total = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(shingles), HASHES_AT_ONCE):
-        h = np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles[at : at + HASHES_AT_ONCE]], dtype="<u8")
+    total, n, tail = np.zeros(64, dtype=np.int64), 0, []
+
+    def count(shingles: list[bytes]) -> None:
+        nonlocal n, total
+        h = np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles], dtype="<u8")
         total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(shingles), bitorder="little").view("<i8")[0])
+        n += len(shingles)
+
+    for w in word_slices(text or b""):
+        w = tail + w
+        if len(w) >= words:
+            count(list(map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False))))
+        tail = w[len(w) - words + 1 :] if len(w) >= words else w
+    if not n and tail:
+        count([b" ".join(tail)])
+    return int(np.packbits(2 * total > n, bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:

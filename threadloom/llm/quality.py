@@ -192,6 +192,7 @@ class Sites:
     """A fitted classifier and what is known of hosts and of paths below them."""
 
     model: object  # broadcast Classifier
+    evidence: DataFrame  # (doc_id, host, path, e) of every document, stored
     paths: DataFrame
     hosts: DataFrame
     priors: dict[str, tuple[float, float, float]]  # head: rate, strength of the prior of hosts, and of paths
@@ -213,7 +214,7 @@ def sites(docs: DataFrame, labels: DataFrame, host: str, path: str, rows: int) -
     for h in HEADS:
         (rate, of_hosts), (_, of_paths) = shrinkage(hosts, f"host_{h}", "n_host"), shrinkage(paths, f"path_{h}", "n_path")
         priors[h] = (rate, of_hosts, of_paths)
-    return Sites(model, paths, hosts, priors)
+    return Sites(model, evidence, paths, hosts, priors)
 
 
 def logits(model):  # noqa: ANN001, ANN201
@@ -258,8 +259,7 @@ def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     stay. Without labels the scores stay near a half. An empty table gives an empty result. Other columns are not read.
     """
     known = sites(docs, labels, host, path, rows)
-    evidence = docs.select("doc_id", F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), logits(known.model)("text").alias("e"))
-    return judged(evidence, known).select("doc_id", "host", "path", *[f"{h}_score" for h in HEADS], "keep")
+    return judged(known.evidence, known).select("doc_id", "host", "path", *[f"{h}_score" for h in HEADS], "keep")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", rows: int = FIT_ROWS) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import durable
 from .corpus import Corpus, Scope, by_origin, message_predicate, sessions_in
 
 # The rank's parameters and its least inverse document frequency.
@@ -152,9 +153,12 @@ def leaves(node) -> list[Phrase]:
 
 
 def index(texts: DataFrame, key: str = "event_id") -> tuple[DataFrame, DataFrame]:
-    """Postings (term, key, tf, positions), and (key, dl): the length of every text, null ones included."""
+    """Postings (term, key, tf, positions), and (key, dl): the length of every text, null ones included.
+
+    Lengths are worked out at once, as a ranking needs them twice; postings when they are read, as far as they are.
+    """
     found = texts.select(key, X.terms(F.col("text")).alias("terms"))
-    lengths = found.select(key, F.size("terms").alias("dl"))
+    lengths = durable(found.select(key, F.size("terms").alias("dl")))
     places = found.select(key, F.posexplode("terms").alias("pos", "term"))
     postings = places.groupBy("term", key).agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
     return postings, lengths
@@ -223,7 +227,7 @@ def ranked(postings: DataFrame, lengths: DataFrame, query: str, key: str = "even
     places = [F.array_sort(F.flatten(F.collect_list(F.when(of(*u), F.col("positions"))))).alias(f"p{i}") for i, u in enumerate(units)]
     texts = postings.filter(wanted).groupBy(key).agg(*places or [F.lit(0).alias("none")])
     at = {u: F.col(f"p{i}") for i, u in enumerate(units)}
-    texts = texts.select(key, matches(node, at).alias("hit"), *[F.size(starts(p, at)).alias(f"tf{i}") for i, p in enumerate(phrases)])
+    texts = durable(texts.select(key, matches(node, at).alias("hit"), *[F.size(starts(p, at)).alias(f"tf{i}") for i, p in enumerate(phrases)]))
     whole = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     held = texts.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"n{i}") for i in range(len(phrases))]).first()
     import math

@@ -82,3 +82,35 @@ def test_scan_and_redaction(spark):
     text = "é the key is [model removed] ok and [assign removed]"
     assert clean[(1, len(text))] == text and clean[(1, 16)] == "plain words only" and clean[(2, None)] is None
     assert secrets.redacted(docs).schema == docs.schema and secrets.scan(docs.filter("false")).count() == 0
+
+
+def test_all_tokens_are_scored_as_by_their_features():
+    chain, reader = secrets.trained(), secrets.Scorer(secrets.trained())
+    odd = ["", "...", " x", 'a=b: x\n\n key=ABCD-12345. "q" ... ,, end', "order = AIzaHIWzZ = x", "plain words only"]
+    for text in odd + [t for t, _ in secrets.examples(40, seed=5)] + odd:
+        places, rows = secrets.features(text)
+        begin, end, scores = reader.read(text)
+        assert places == secrets.tokens(text) == list(zip(begin.tolist(), end.tolist()))
+        assert not rows or np.allclose(scores, [chain.unary[r].sum(axis=0) for r in rows])
+    assert len(secrets.tokens("plain words only")) == 3
+
+
+def test_runs_are_decoded_as_the_whole():
+    rng = np.random.default_rng(6)
+    for _ in range(500):
+        chain = secrets.Chain(np.zeros((1, 3)), rng.normal(size=(3, 3)) * rng.choice([0.1, 1]))
+        scores = rng.normal(size=(rng.integers(1, 9), 3)) * 3 + [rng.normal(2, 2), 0, 0]
+        assert [x for x in chain.inner(scores) if x[1]] == [x for x in enumerate(chain.best(scores)) if x[1]]
+
+
+def test_secrets_of_several_tokens():
+    chain = secrets.trained()
+    assert np.abs(chain.unary[:, secrets.INSIDE]).max() > 0.1 and np.abs(chain.pair).max() > 0.1
+    two = "Zk3mQ9xT7bLp2WvR aB8dKe5fGh1jMn4q"
+    text = f"the access_key = {two}\nand words after it"
+    assert secrets.model_spans(text, chain) == [(17, 17 + len(two))]
+    rng = np.random.default_rng(7)
+    lines = "\n".join("".join(rng.choice(list("ABCDEFGHabcdefgh0123456789+/"), 64)) for _ in range(5)) + "\nab12Cd"
+    text = f"see\n-----BEGIN RSA PRIVATE KEY-----\n{lines}\n-----END RSA PRIVATE KEY-----\nmore text"
+    start = text.index(lines)
+    assert any(s <= start and start + len(lines) - 7 <= e for s, e in secrets.model_spans(text, chain))

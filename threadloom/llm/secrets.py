@@ -7,6 +7,9 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain as chain_of
+from itertools import repeat
+from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -41,27 +44,42 @@ def base_spans(text: str) -> list[Span]:
 # --- the chain -------------------------------------------------------------------------------------------------------
 
 OUTSIDE, BEGIN, INSIDE = range(3)
-#: What may be tagged: pieces between blanks and quotes that hold a digit or mix cases within, and so aren't prose.
-CANDIDATE = re.compile(r"""(?<![^\s"'`<>(),;])(?=[^\s"'`<>(),;]{8})(?:[^\s"'`<>(),;0-9]*[0-9]|[A-Za-z]*[a-z][A-Z][A-Za-z]*[a-z][A-Z])[^\s"'`<>(),;]*""")
-#: Code points before a candidate that its neighbouring words are looked for in.
-NEAR = 60
-WORD = re.compile(r"[A-Za-z_]+|\S")
+#: What lies between pieces: blanks and quotes. All else is tagged.
+BETWEEN = re.compile(r"""([\s"'`<>(),;]+)""")
+#: A name that is cut off where a value is assigned to it, and what ends a piece without being part of it.
+NAME = re.compile(r"[A-Za-z_\[][\w.\-\[\]]*")
+ENDING = ".,;:!?=*$%&#|"
+#: Tokens before one that are looked at for words that announce a credential.
+NEAR = 5
+LETTERS = re.compile(r"[A-Za-z]+")
+WORDY = re.compile(r"[a-z]{7}")
 # Words that announce a credential, in code, settings and prose.
 CUES = frozenset("password passwd passphrase pwd pass secret secrets token tokens key keys apikey api_key auth authorization bearer basic credential credentials private access client_secret session cookie jwt signature sig sas pat pin otp login".split())
 #: Beginnings of known credentials' formats.
 PREFIXES = ("ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xox", "sk_live_", "sk_test_", "sk-", "pk_live_", "AIza", "ya29.", "eyJ", "SG.", "hf_", "npm_", "pypi-", "dop_v1_", "ASIA", "AKIA", "MII", "ssh-rsa", "AAAA")
-BITS = 12
+BITS = 16
+#: Words whose scores a task keeps, and the longest of them.
+KEPT_WORDS, KEPT_LENGTH = 100_000, 128
+GAPS = ("start", "space", "line", "assign", "other")
 
 
-def shape(word: str) -> str:
-    """Characters by kind, runs as one."""
-    kinds = "".join("A" if c.isupper() else "a" if c.islower() else "0" if c.isdigit() else c if c in "-_./+=:" else "?" for c in word[:64])
-    return re.sub(r"(.)\1+", r"\1", kinds)[:12]
+def character(c: str) -> str:
+    return "A" if c.isupper() else "a" if c.islower() else "0" if c.isdigit() else c if c in "-_./+=:" else "?"
+
+
+class Characters(dict):
+    def __missing__(self, c: int) -> str:
+        self[c] = out = character(chr(c))
+        return out
+
+
+CHARACTERS = Characters()
+REPEATS = re.compile(r"(.)\1+")
 
 
 def entropy(word: str) -> float:
     n = len(word)
-    return -sum(c / n * np.log2(c / n) for c in map(word.count, set(word))) if n else 0.0
+    return -sum(c / n * log2(c / n) for c in map(word.count, set(word))) if n else 0.0
 
 
 def bucket(name: str) -> int:
@@ -73,31 +91,53 @@ def named(name: str) -> int:
     return bucket(name)
 
 
-def token_features(word: str, before: list[str], joined: bool, file: tuple[str, ...]) -> list[int]:
-    """Hashed features of a token: its shape, the words before it and what kind of text it lies in."""
-    kinds = len({k for c in word for k in ("A" if c.isupper() else "a" if c.islower() else "0" if c.isdigit() else "-",)})
-    digits = sum(map(str.isdigit, word)) / len(word)
-    e = entropy(word)
+Traits = tuple[str, int, int, int, int, int, str, bool, bool, bool, bool, bool, bool, bool]
+
+
+def traits(word: str) -> Traits:
+    """What counts of a token: shape (runs as one), kinds of characters, entropy, its share of the most, length, digits, ..."""
+    marks = word.translate(CHARACTERS)
+    n, e, digits = len(word), entropy(word), marks.count("0")
+    shape = REPEATS.sub(r"\1", marks[:64])[:12]
+    kinds = len({x if x in "Aa0" else "-" for x in set(marks)})
+    prefix = next(p for p in PREFIXES if word.startswith(p)) if word.startswith(PREFIXES) else ""
+    return (
+        shape, kinds, int(e * 2), int(4 * e / max(1.0, log2(n))), min(n // 4, 12), int(digits / n * 5), prefix, digits > 0 and bool(re.fullmatch(r"[0-9.,:/+-]+", word)),
+        "://" in word or word.startswith("www."), "@" in word, word.count("/") > 1 and digits / n < 0.2,
+        bool(WORDY.search(word)), digits > 0 and bool(re.match(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", word)), word.isalpha(),
+    )
+
+
+def own_features(of: Traits, cue: bool) -> list[int]:
+    """Hashed features of a token by its traits and by whether a word before it announces a credential."""
+    shape, kinds, e, share, size, digits, prefix, number, url, mail, path, wordy, date, letters = of
     names = [
-        "bias", f"shape={shape(word)}", f"kinds={kinds}", f"len={min(len(word) // 4, 12)}", f"digits={int(digits * 5)}", f"entropy={int(e * 2)}",
-        f"dense={int(4 * e / max(1.0, np.log2(len(word))))}", f"first={before[-1].lower() if before else ''}", f"joined={joined}",
-        f"prefix={next((p for p in PREFIXES if word.startswith(p)), '')}", f"number={bool(re.fullmatch(r'[0-9.,:/+-]+', word))}",
-        f"url={'://' in word or word.startswith('www.')}", f"mail={'@' in word}", f"path={word.count('/') > 1 and digits < 0.2}",
-        f"wordy={bool(re.search('[a-z]{7}', word))}", f"date={bool(re.match(r'[0-9]{4}-[0-9]{2}-[0-9]{2}', word))}",
+        "bias", f"shape={shape}", f"kinds={kinds}", f"len={size}", f"digits={digits}", f"entropy={e}", f"dense={share}", f"prefix={prefix}", f"number={number}",
+        f"url={url}", f"mail={mail}", f"path={path}", f"wordy={wordy}", f"date={date}", f"letters={letters}", f"letters={letters}&len={size}",
+        f"cue={cue}", f"cue={cue}&kinds={kinds}", f"cue={cue}&dense={share}", f"cue={cue}&letters={letters}&len={size}",
     ]
-    near = {w.lower() for w in before}
-    cue = any(w in CUES or any(p in CUES for p in w.split("_")) for w in near)
-    names += [f"cue={cue}", f"cue={cue}&kinds={kinds}", f"cue={cue}&dense={int(4 * e / max(1.0, np.log2(len(word))))}", *(f"file={f}" for f in file)]
     return [named(n) for n in names]
 
 
+def beside_features(of: Traits | None, word: str, side: str) -> list[int]:
+    """Hashed features that a token has by the one before or after it, if there is one."""
+    if of is None:
+        return [named(f"{side}=none")]
+    shape, kinds, _, share, size, *_, letters = of
+    return [bucket(f"{side}={word.lower()[:KEPT_LENGTH]}"), named(f"{side}shape={shape}"), named(f"{side}dense={kinds},{share},{size},{letters}")]
+
+
+def announces(word: str) -> bool:
+    return any(p.lower() in CUES for p in LETTERS.findall(word)) or word.lower() in CUES
+
+
 def file_features(text: str) -> tuple[str, ...]:
     """What kind of text it is, by its first lines' and its own marks."""
     n = len(text) + 1
     return (f"code{min(3, int(200 * sum(map(text.count, '{};=')) / n))}", f"lines{min(3, int(100 * text.count(chr(10)) / n))}")
 
 
-@dataclass
+@dataclass(eq=False)
 class Chain:
     """Weights of a linear-chain conditional random field over outside, begin and inside."""
 
@@ -105,92 +145,231 @@ class Chain:
     pair: np.ndarray  # tag, next tag
 
     def decode(self, rows: list[list[int]]) -> list[int]:
+        """The best sequence of tags of tokens by their features."""
+        return self.best(np.array([self.unary[r].sum(axis=0) for r in rows]))
+
+    def best(self, scores: np.ndarray) -> list[int]:
         """The best sequence of tags by Viterbi's algorithm; nothing inside follows an outside or starts a sequence."""
-        scores = np.array([self.unary[r].sum(axis=0) for r in rows])
-        best, back = scores[0].copy(), []
-        best[INSIDE] = -1e9
-        for s in scores[1:]:
-            step = best[:, None] + self.pair
-            step[OUTSIDE, INSIDE] = -1e9
-            back.append(step.argmax(axis=0))
-            best = step.max(axis=0) + s
-        tags = [int(best.argmax())]
-        for b in reversed(back):
-            tags.append(int(b[tags[-1]]))
+        (oo, ob, _), (bo, bb, bi), (io, ib, ii) = self.pair.tolist()
+        rows = iter(scores.tolist())
+        o, b, _ = next(rows)
+        i, back = -1e9, []
+        for so, sb, si in rows:
+            to_o, to_b = (0, o + oo), (0, o + ob)
+            if b + bo > to_o[1]:
+                to_o = (1, b + bo)
+            if i + io > to_o[1]:
+                to_o = (2, i + io)
+            if b + bb > to_b[1]:
+                to_b = (1, b + bb)
+            if i + ib > to_b[1]:
+                to_b = (2, i + ib)
+            to_i = (1, b + bi) if b + bi >= i + ii else (2, i + ii)
+            back.append((to_o[0], to_b[0], to_i[0]))
+            o, b, i = to_o[1] + so, to_b[1] + sb, to_i[1] + si
+        tags = [int(np.argmax((o, b, i)))]
+        for x in reversed(back):
+            tags.append(x[tags[-1]])
         return tags[::-1]
 
+    def inner(self, scores: np.ndarray) -> list[tuple[int, int]]:
+        """(position, tag) of the best sequence, less positions that are outside in any best one.
+
+        Where outside is better by more than three changed pairs can cost, and by what the next token loses if it
+        has to begin instead of going on, no best sequence has another tag. The runs between are decoded.
+        """
+        if not len(scores):
+            return []
+        bound = np.delete(self.pair.reshape(-1), OUTSIDE * 3 + INSIDE)
+        spread = 3 * (bound.max() - min(bound.min(), 0) if bound.max() > 0 else -bound.min())
+        lost = np.append(np.maximum(scores[1:, INSIDE] - scores[1:, BEGIN], 0), 0)
+        open_ = np.nonzero(scores[:, OUTSIDE] - scores[:, BEGIN:].max(axis=1) <= spread + lost + 1e-9)[0]
+        out: list[tuple[int, int]] = []
+        for run in np.split(open_, np.nonzero(np.diff(open_) > 1)[0] + 1):
+            if len(run):
+                s = scores[run].copy()
+                if run[0] > 0:
+                    s[0] += self.pair[OUTSIDE]
+                if run[-1] < len(scores) - 1:
+                    s[-1] += self.pair[:, OUTSIDE]
+                out += zip(run.tolist(), self.best(s), strict=True)
+        return out
+
     def gradient(self, rows: list[list[int]], tags: list[int]) -> tuple[float, np.ndarray, np.ndarray]:
         """Log-likelihood of the tags, each position's error (expected less true), and the pairs' error."""
         s = np.array([self.unary[r].sum(axis=0) for r in rows])
-        pair = self.pair.copy()
-        pair[OUTSIDE, INSIDE] = -1e9
+        tags = np.asarray(tags)
+        top = s.max(axis=1)
+        e, pair = np.exp(s - top[:, None]), np.exp(self.pair)
+        pair[OUTSIDE, INSIDE] = 0
+        e[0, INSIDE] = 0
         n = len(s)
-        a, b = s.copy(), np.zeros_like(s)
-        a[0, INSIDE] = -1e9
-        for i in range(1, n):
-            m = a[i - 1][:, None] + pair
-            a[i] += np.logaddexp.reduce(m, axis=0)
+        a, b, size = np.empty((n, 3)), np.ones((n, 3)), np.empty(n)
+        a[0] = e[0]
+        for i in range(n):
+            if i:
+                a[i] = a[i - 1] @ pair * e[i]
+            size[i] = a[i].sum()
+            a[i] /= size[i]
         for i in range(n - 2, -1, -1):
-            b[i] = np.logaddexp.reduce(pair + (s[i + 1] + b[i + 1])[None], axis=1)
-        z = np.logaddexp.reduce(a[-1])
-        one = np.exp(a + b - z)
-        two = np.zeros((3, 3))
-        value = s[0, tags[0]]
-        for i in range(1, n):
-            two += np.exp(a[i - 1][:, None] + pair + (s[i] + b[i])[None] - z)
-            two[tags[i - 1], tags[i]] -= 1
-            value += pair[tags[i - 1], tags[i]] + s[i, tags[i]]
+            b[i] = pair @ (e[i + 1] * b[i + 1]) / size[i + 1]
+        one = a * b
+        two = pair * (a[:-1].T @ (e[1:] * b[1:] / size[1:, None]))
+        value = s[np.arange(n), tags].sum() + self.pair[tags[:-1], tags[1:]].sum() - top.sum() - np.log(size).sum()
+        np.subtract.at(two, (tags[:-1], tags[1:]), 1)
         one[np.arange(n), tags] -= 1
-        return float(value - z), one, two
+        return float(value), one, two
+
+
+def piece_tokens(piece: str) -> list[tuple[int, int]]:
+    """Tokens of a piece: none if it only ends others; of `key=value` name and value."""
+    out, start = [], 0
+    if ("=" in piece or ":" in piece) and not piece.startswith(("http", "ftp")):
+        cut = max(piece.rfind(c, 0, len(piece) - 4) for c in "=:")
+        if cut > 0 and len(piece[cut + 1 :].rstrip(ENDING)) >= 4 and NAME.fullmatch(piece, 0, cut):
+            out.append((0, cut))
+            start = cut + 1
+    end = start + len(piece[start:].rstrip(ENDING))
+    return [*out, (start, end)] if end > start else out
 
 
 def tokens(text: str) -> list[tuple[int, int]]:
-    """Candidates in a text, cut at what assigns: of `key=value` only the value is a token."""
-    found = []
-    for m in CANDIDATE.finditer(text):
-        start, end = m.span()
-        cut = max((m[0].rfind(c, 0, len(m[0]) - 4) for c in ("=", ":") if not m[0].startswith(("http", "ftp"))), default=-1)
-        rest = text[start + cut + 1 : end].rstrip(".,;:!?=")
-        head = text[start : start + cut]
-        if cut > 0 and re.fullmatch(r"[\w.\-\[\]]+", head) and len(rest) >= 8:
-            start += cut + 1
-        end = start + len(text[start:end].rstrip(".,;:!?*$%&#|"))
-        if end - start >= 8 and re.search(r"[0-9]|[a-z][A-Z]", text[start:end]):
-            found.append((start, end))
+    """Places of all tokens of a text."""
+    found, at = [], 0
+    for k, part in enumerate(BETWEEN.split(text)):
+        if k % 2 == 0 and part:
+            found += [(at + s, at + e) for s, e in piece_tokens(part)]
+        at += len(part)
     return found
 
 
-def chains(text: str) -> list[list[tuple[int, int, list[int]]]]:
-    """Sequences of tokens with their features. What isn't a candidate is outside, and so ends a sequence.
+@lru_cache(maxsize=10_000)
+def gap(between: str) -> int:
+    """What stands between two tokens, by its last characters."""
+    last = between.rstrip(" \t")[-1:]
+    return 3 if last and last in "=:\"'`" else 2 if "\n" in between else 1 if not last else 4
 
-    Every other token's tag is fixed, so decoding the sequences between them decodes the whole text.
-    """
-    out: list[list[tuple[int, int, list[int]]]] = []
-    last = -1
-    file: tuple[str, ...] | None = None
-    for start, end in tokens(text):
-        file = file or file_features(text)
-        before = WORD.findall(text[max(0, start - NEAR) : start])[-5:]
-        words = [w for w in before if len(w) > 1]
-        joined = last >= 0 and text[last:start].strip(" \t\"'`,;()<>") == "" and start - last <= 3
-        row = (start, end, token_features(text[start:end], words, bool(before) and before[-1] in "=:\"'", file))
-        if joined:
-            out[-1].append(row)
-        else:
-            out.append([row])
-        last = end
+
+def gaps(text: str, found: list[tuple[int, int]]) -> list[int]:
+    return [0][: len(found)] + [gap(text[max(e, s - 8) : s]) for (_, e), (s, _) in zip(found, found[1:])]
+
+
+def near_cues(cues: np.ndarray) -> np.ndarray:
+    """Whether one of the NEAR tokens before each announces a credential."""
+    out = np.zeros(len(cues), bool)
+    for k in range(1, NEAR + 1):
+        out[k:] |= cues[:-k]
     return out
 
 
+def features(text: str) -> tuple[list[tuple[int, int]], list[list[int]]]:
+    """All tokens of a text and the hashed features of each."""
+    found = tokens(text)
+    words = [text[s:e] for s, e in found]
+    cues = near_cues(np.array([announces(w) for w in words], bool))
+    file = [named(f"file={f}") for f in file_features(text)]
+    beside = [(None, ""), *((traits(w), w) for w in words), (None, "")]
+    return found, [
+        own_features(beside[i + 1][0], bool(c)) + beside_features(*beside[i], "before") + beside_features(*beside[i + 2], "after") + [named(f"gap={GAPS[g]}")] + file
+        for i, (c, g) in enumerate(zip(cues, gaps(text, found), strict=True))
+    ]
+
+
+class Scorer:
+    """Scores of a chain for the tokens of texts; what a word adds, to its own and its neighbours' scores, is kept."""
+
+    def __init__(self, chain: Chain) -> None:
+        self.chain = chain
+        self.gaps = np.array([chain.unary[named(f"gap={g}")] for g in GAPS])
+        self.edge = {side: chain.unary[beside_features(None, "", side)].sum(axis=0) for side in ("before", "after")}
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        #: What the traits of words add to the scores.
+        self.by_traits: dict[Traits, np.ndarray] = {}
+        #: Row of a piece that is one token as a whole.
+        self.whole: dict[str, int] = {}
+        self.table = np.empty((1024, 4, 3))
+        self.cues = np.empty(1024, bool)
+        self.n = 0
+
+    def row(self, word: str) -> int:
+        """The place of a word's scores: own without and with a cue, as the token before and as the one after."""
+        r = self.known.get(word)
+        if r is not None:
+            return r
+        if self.n == len(self.table):
+            self.table = np.concatenate([self.table, np.empty_like(self.table)])
+            self.cues = np.concatenate([self.cues, np.empty_like(self.cues)])
+        of = traits(word)
+        if of not in self.by_traits:
+            u = self.chain.unary
+            self.by_traits[of] = np.array([u[own_features(of, False)].sum(axis=0), u[own_features(of, True)].sum(axis=0), u[beside_features(of, "", "before")[1:]].sum(axis=0), u[beside_features(of, "", "after")[1:]].sum(axis=0)])
+        row = self.table[self.n]
+        row[...] = self.by_traits[of]
+        row[2] += self.chain.unary[beside_features(of, word, "before")[0]]
+        row[3] += self.chain.unary[beside_features(of, word, "after")[0]]
+        self.cues[self.n] = announces(word)
+        if len(word) <= KEPT_LENGTH:
+            self.known[word] = self.n
+        self.n += 1
+        return self.n - 1
+
+    def read(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of all tokens, as `tokens` has them, and the scores of each tag, the sums of `features`."""
+        if self.n > KEPT_WORDS:
+            self.clear()
+        parts = BETWEEN.split(text)
+        pieces = parts[::2]
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        begin = (np.cumsum(size) - size)[::2]
+        end = begin + size[::2]
+        at = np.fromiter(map(self.whole.get, pieces, repeat(-1)), np.int64, len(pieces))
+        kind = np.fromiter(chain_of((0,), map(gap, (x[-8:] for x in parts[1::2]))), np.int64, len(pieces))
+        odd = np.nonzero(at < 0)[0]
+        if len(odd):
+            begins, ends, rows, where = [], [], [], []
+            for k in odd.tolist():
+                for s, e in piece_tokens(pieces[k]) if pieces[k] else ():
+                    r = self.row(pieces[k][s:e])
+                    if e - s == len(pieces[k]) <= KEPT_LENGTH:
+                        self.whole[pieces[k]] = r
+                    begins.append(begin[k] + s), ends.append(begin[k] + e), rows.append(r), where.append(k)
+            keep = at >= 0
+            begin, end, at, where = np.append(begin[keep], begins), np.append(end[keep], ends), np.append(at[keep], rows), np.append(np.nonzero(keep)[0], where)
+            order = np.lexsort((begin, where))
+            fresh = np.zeros(len(order), bool)
+            fresh[keep.sum() :] = True
+            begin, end, at, where, kind, fresh = (x[order].astype(np.int64) for x in (begin, end, at, where, kind[where.astype(np.int64)], fresh))
+            # Gaps that cut or stripped characters belong to: beside a token that isn't a whole piece or over a piece without one.
+            for k in np.nonzero(fresh[1:] | fresh[:-1] | (np.diff(where) > 1))[0].tolist():
+                kind[k + 1] = gap(text[max(end[k], begin[k + 1] - 8) : begin[k + 1]])
+        if not len(at):
+            return begin[:0], end[:0], np.zeros((0, 3))
+        kind[0] = 0
+        out = self.table[at, near_cues(self.cues[at]).astype(np.int64)] + self.gaps[kind]
+        out[1:] += self.table[at[:-1], 2]
+        out[:-1] += self.table[at[1:], 3]
+        out[0] += self.edge["before"]
+        out[-1] += self.edge["after"]
+        return begin, end, out + self.chain.unary[[named(f"file={f}") for f in file_features(text)]].sum(axis=0)
+
+
+@lru_cache(maxsize=2)
+def scorer(chain: Chain) -> Scorer:
+    return Scorer(chain)
+
+
 def model_spans(text: str, chain: Chain) -> list[tuple[int, int]]:
-    """Spans that the chain tags: from a begin over its insides."""
+    """Spans that the chain tags: from a begin over its insides. All tokens of the text are one sequence."""
+    begin, end, scores = scorer(chain).read(text)
     found: list[tuple[int, int]] = []
-    for sequence in chains(text):
-        for (start, end, _), tag in zip(sequence, chain.decode([r for *_, r in sequence]), strict=True):
-            if tag == BEGIN:
-                found.append((start, end))
-            elif tag == INSIDE and found:
-                found[-1] = (found[-1][0], end)
+    for k, tag in chain.inner(scores):
+        if tag == BEGIN:
+            found.append((int(begin[k]), int(end[k])))
+        elif tag == INSIDE:
+            found[-1] = (found[-1][0], int(end[k]))
     return found
 
 
@@ -216,8 +395,16 @@ def examples(n: int = 1200, seed: int = 17) -> list[tuple[str, list[tuple[int, i
     def pick(*options: str) -> str:
         return options[rng.integers(0, len(options))]
 
+    names = ("access_key", "client_secret", "auth", "private_key", "credentials", "SESSION_KEY", "Authorization", "db_pass", "pwd", "key", "signature")
+    neutral = ("version", "id", "file", "date", "order", "call", "see", "page", "host", "name", "number", "ref")
+    letters = "eeaaiinnorrsstlhducmpgbvfyéüñ"
+
+    def word() -> str:
+        w, r = draw(letters, 1, 10), rng.random()
+        return w.capitalize() if r < 0.12 else w.upper() if r < 0.14 else w + draw("0123456789", 1, 3) if r < 0.17 else draw("0123456789", 1, 5) if r < 0.2 else w + "-" + draw(letters, 2, 6) if r < 0.22 else pick(*names, *neutral, "the", "pass", "keys") if r < 0.27 else w
+
     def prose() -> str:
-        return " ".join(draw("aeinorstlhduc", 2, 9) for _ in range(rng.integers(2, 9)))
+        return " ".join(word() + ("," if rng.random() < 0.06 else "." if rng.random() < 0.05 else "") for _ in range(rng.integers(2, 16)))
 
     secret = [
         lambda: pick("ghp_", "gho_", "ghs_") + draw(alnum, 36, 36), lambda: "glpat-" + draw(alnum + "-_", 20, 20), lambda: "xoxb-" + draw("0123456789", 11, 12) + "-" + draw(alnum, 24, 24),
@@ -230,20 +417,38 @@ def examples(n: int = 1200, seed: int = 17) -> list[tuple[str, list[tuple[int, i
         lambda: f"{rng.integers(10, 255)}.{rng.integers(10, 255)}.{rng.integers(10, 255)}.{rng.integers(10, 255)}:8080", lambda: f"src/{draw('abcdefgh', 4, 9)}/{draw('abcdefgh', 4, 9)}_v{rng.integers(1, 30)}.py", lambda: f"{draw('abcdefgh', 4, 8)}-{draw('abcdefgh', 4, 8)}-v{rng.integers(1, 9)}.{rng.integers(1, 30)}.{rng.integers(1, 9)}",
         lambda: draw("abcdefgh", 3, 7) + draw("ABCDEFGH", 1, 1) + draw("abcdefgh", 3, 7) + draw("ABCDEFGH", 1, 1) + draw("abcdefgh", 2, 6), lambda: f"{draw('0123456789', 4, 4)}-{draw('0123456789', 4, 4)}-{draw('0123456789', 4, 4)}-{draw('0123456789', 4, 4)}", lambda: f"${rng.integers(1, 999)},{rng.integers(100, 999)}.{rng.integers(10, 99)}", lambda: f"{draw('aeinorstlh', 5, 12)}{rng.integers(1, 999)}", lambda: f"({rng.integers(100, 999)})555-{rng.integers(1000, 9999)}", lambda: f"{rng.integers(100, 999)}-{rng.integers(10, 99)}-{rng.integers(1000, 9999)}", lambda: f"DE{rng.integers(10, 99)}{draw('0123456789', 18, 18)}",
     ]
-    names = ("access_key", "client_secret", "auth", "private_key", "credentials", "SESSION_KEY", "Authorization", "db_pass", "pwd", "key", "signature")
-    neutral = ("version", "id", "file", "date", "order", "call", "see", "page", "host", "name", "number", "ref")
+    several = [
+        lambda: " ".join(draw(alnum, 14, 28) for _ in range(2)), lambda: " ".join(draw("ABCDEFGHJKLMNPQRSTUVWXYZ0123456789", 5, 5) for _ in range(rng.integers(3, 7))),
+        lambda: " ".join(draw(alnum, 8, 8) for _ in range(rng.integers(2, 6))), lambda: " ".join(draw("0123456789abcdef", 8, 8) for _ in range(rng.integers(4, 9))),
+    ]
+
+    def block() -> tuple[str, str, str]:
+        kind = pick("RSA PRIVATE KEY", "PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY")
+        lines = [draw(alnum + "+/", 64, 64) for _ in range(rng.integers(1, 8))] + [draw(alnum + "+/", 20, 63) + draw(alnum, 1, 1)]
+        return f"-----BEGIN {kind}-----\n", "\n".join(lines), f"\n-----END {kind}-----"
+
     out = []
     for i in range(n):
-        marked = i % 2 == 0
-        strong = rng.integers(0, 8)
-        value = secret[strong]() if marked and rng.random() < 0.5 else (secret[rng.integers(8, len(secret))]() if marked else plain[rng.integers(0, len(plain))]())
-        known = value.startswith(PREFIXES)
-        name = pick(*names) if marked and not known else pick(*(names if rng.random() < (0.5 if known else 0.15) else neutral))
-        form = rng.integers(0, 5)
-        lead = [f"{prose()} {name} = ", f'{prose()}\n"{name}": "', f"{prose()} {name}: ", f"{prose()}\nexport {name.upper()}=", f"{prose()} the {name} is "][form]
-        tail = ('"' if form == 1 else "") + pick(" ", "\n", ". ") + prose()
-        text = lead + value + tail
-        out.append((text, [(len(lead), len(lead) + len(value))] if marked else []))
+        text, places = prose() if rng.random() < 0.5 else "", []
+        for j in range(rng.integers(1, 4)):
+            marked = (i + j) % 2 == 0
+            kind = rng.random()
+            if marked and kind < 0.12:
+                head, value, end = block()
+                lead, tail = f"{prose()}\n{head}", end + "\n"
+            else:
+                value = several[rng.integers(0, len(several))]() if marked and kind < 0.35 else secret[rng.integers(0, len(secret))]() if marked else plain[rng.integers(0, len(plain))]()
+                known = value.startswith(PREFIXES)
+                name = pick(*names) if marked and not known else pick(*(names if rng.random() < (0.5 if known else 0.15) else neutral))
+                form = rng.integers(0, 5)
+                lead = [f"{prose()} {name} = ", f'{prose()}\n"{name}": "', f"{prose()} {name}: ", f"{prose()}\nexport {name.upper()}=", f"{prose()} the {name} is "][form]
+                tail = ('"' if form == 1 else "") + pick("\n", ". ", ", ", " ")
+            if text and not text[-1].isspace():
+                text += pick(" ", "\n", ". ")
+            if marked:
+                places.append((len(text + lead), len(text + lead + value)))
+            text += lead + value + tail
+        out.append((text + (prose() if rng.random() < 0.8 else ""), places))
     return out
 
 
@@ -251,25 +456,27 @@ def fit(texts: list[tuple[str, list[tuple[int, int]]]], epochs: int = 8, step: f
     """Stochastic gradient ascent on the likelihood of the tags, with steps that adapt to each weight."""
     sequences = []
     for text, marked in texts:
-        for sequence in chains(text):
-            tags: list[int] = []
-            for start, end, _ in sequence:
-                own = next((m for m in marked if m[0] < end and start < m[1]), None)
-                inside = own is not None and tags and tags[-1] != OUTSIDE and start > own[0]
-                tags.append(OUTSIDE if own is None else INSIDE if inside else BEGIN)
-            sequences.append(([r for *_, r in sequence], tags))
+        found, rows = features(text)
+        tags: list[int] = []
+        last = None
+        for start, end in found:
+            own = next((m for m in marked if m[0] < end and start < m[1]), None)
+            tags.append(OUTSIDE if own is None else INSIDE if own == last else BEGIN)
+            last = own
+        if rows:
+            own, at = np.unique(np.concatenate(rows), return_inverse=True)
+            sequences.append((rows, own, at.reshape(-1), np.repeat(np.arange(len(rows)), list(map(len, rows))), tags))
     chain = Chain(np.zeros((1 << BITS, 3)), np.zeros((3, 3)))
     square, square_pair = np.full_like(chain.unary, 1e-2), np.full((3, 3), 1e-2)
     order = np.random.default_rng(3)
     for _ in range(epochs):
         for i in order.permutation(len(sequences)):
-            rows, tags = sequences[i]
+            rows, own, at, of, tags = sequences[i]
             _, one, two = chain.gradient(rows, tags)
-            for r, g in zip(rows, one, strict=True):
-                own = np.unique(r)
-                g = g[None] + shrink * chain.unary[own]
-                square[own] += g * g
-                chain.unary[own] -= step * g / np.sqrt(square[own])
+            g = shrink * chain.unary[own]
+            np.add.at(g, at, one[of])
+            square[own] += g * g
+            chain.unary[own] -= step * g / np.sqrt(square[own])
             square_pair += two * two
             chain.pair -= step * two / np.sqrt(square_pair)
     return chain

@@ -114,3 +114,11 @@ def test_secrets_of_several_tokens():
     text = f"see\n-----BEGIN RSA PRIVATE KEY-----\n{lines}\n-----END RSA PRIVATE KEY-----\nmore text"
     start = text.index(lines)
     assert any(s <= start and start + len(lines) - 7 <= e for s, e in secrets.model_spans(text, chain))
+
+
+def test_spans_that_reach_beyond_base_spans():
+    for text, left in (("password=Summer2024!Blue#9x and the rest", " and the rest"), ("the access_key = x9Zk-" + "0a" * 12 + "-Qw7Lp2 ok", " ok")):
+        found = secrets.spans(text, secrets.trained())
+        assert secrets.redacted_text(text, found).endswith("removed]" + left)
+    inside = 'token = "0123456789abcdef0123456789abcdef"'
+    assert all(k != 3 for _, k, _ in secrets.spans(inside, secrets.trained()))

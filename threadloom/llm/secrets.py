@@ -374,10 +374,15 @@ def model_spans(text: str, chain: Chain) -> list[tuple[int, int]]:
 
 
 def spans(text: str, chain: Chain) -> list[Span]:
-    """Base spans, and those of the chain that overlap none of them, in the order of start and kind."""
+    """Base spans, and those of the chain that don't lie wholly inside them, in the order of start and kind."""
     base = base_spans(text)
-    covered = sorted((s, e) for s, _, e in base)
-    added = [(s, 3, e) for s, e in model_spans(text, chain) if not any(a < e and s < b for a, b in covered)]
+    covered: list[tuple[int, int]] = []
+    for s, _, e in base:
+        if covered and s <= covered[-1][1]:
+            covered[-1] = (covered[-1][0], max(e, covered[-1][1]))
+        else:
+            covered.append((s, e))
+    added = [(s, 3, e) for s, e in model_spans(text, chain) if not any(a <= s and e <= b for a, b in covered)]
     return sorted(base + added)
 
 

@@ -118,3 +118,11 @@ def test_nothing_learned_and_nothing(spark):
     got = {r.doc_id: r for r in lm.scores(docs, F.lit(False)).collect()}
     assert got[None].n_known == 0 and got[None].train_tokens == 0 and got[None].base_score == 0
     assert lm.scores(docs.filter("false"), F.lit(True)).count() == 0
+
+
+def test_all_learning_documents_train(spark, monkeypatch):
+    seen, plain = [], lm.trained
+    monkeypatch.setattr(lm, "trained", lambda texts, known: seen.append(texts.count()) or plain(texts, known))
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    assert lm.scores(docs, learns()).count() == len(corpus())
+    assert seen == [sum(zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in corpus())]

@@ -17,8 +17,8 @@ from .recurrent import CLASS_WORDS, CLASSES, Model
 
 #: Most frequent words that tasks hold with their counts; all others' counts are joined.
 HELD_WORDS = 100_000
-#: One of so many documents trains the network, chosen by a hash of its id.
-TRAIN_SHARE = 8
+#: One of so many documents trains the network, chosen by a hash of its id; 1: all of them.
+TRAIN_SHARE = 1
 #: Distinct words that a task counts before it passes them on; texts and bytes that are scored side by side.
 COUNTED_AT_ONCE, TEXTS_AT_ONCE, BYTES_AT_ONCE = 200_000, 2000, 8_000_000
 #: Bins of a doubling of counts, by which the count of the HELD_WORDS-th word is bounded.
@@ -109,7 +109,7 @@ def trained(texts: DataFrame, known: Lexicon) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = shared.value
         look = symbols_of(known, model)
-        seen = [look(split(t.as_py())) for b in batches for t in b.column(0).cast(pa.binary())]
+        seen = [look(split(t.as_py())).astype(np.int32) for b in batches for t in b.column(0).cast(pa.binary())]
         if seen:
             used = model.train(np.concatenate(seen))
             first = 0

@@ -9,7 +9,7 @@ import numpy as np
 #: Hidden units, classes of words and words of a class.
 HIDDEN, CLASSES, CLASS_WORDS = 16, 64, 64
 #: Steps of a window in training (gradients stop at its start) and in scoring; streams that are trained side by side.
-TRAIN_WINDOW, SCORE_WINDOW, STREAMS = 16, 256, 64
+TRAIN_WINDOW, SCORE_WINDOW, STREAMS = 16, 256, 256
 #: Windows of each stream that fewer streams are taken for where texts are few.
 TRAIN_STEPS = 200
 #: Places on the second half of the way whose weights are averaged.

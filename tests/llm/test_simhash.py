@@ -94,3 +94,10 @@ def test_nulls_repeats_and_nothing(spark):
     kept = simhash.deduplicated(docs)
     assert kept.columns == docs.columns and sorted((str(r.doc_id) for r in kept.collect())) == ["3", "7", "None"]
     assert simhash.near_duplicates(docs.filter("false")).count() == 0 == simhash.deduplicated(docs.filter("false")).count()
+
+
+def test_groups_that_share_an_id_keep_one_row_each(spark):
+    texts = ["sun and moon over the sea", "nine tall trees by a wall", "quite other words stand here"]
+    rows = [(None, t) for t in texts for _ in range(2)] + [(4, "one id of a first text"), (4, "but also of some second one"), (4, "one id of a first text"), (5, "one id of a first text")]
+    kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.text for r in kept.collect()) == sorted({t for _, t in rows})

@@ -153,6 +153,18 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     return pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
 
 
+def classed(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, fp, component_id, root) of every row; root: the component's smallest fingerprint, which tells components apart."""
+    prints = stored(fingerprints(docs, words))
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    linked = stored(distinct.join(components(fingerprint_links(distinct)).withColumnRenamed("node", "fp"), "fp"))
+    ids = stored(linked.groupBy("root").agg(F.min("least").alias("component_id")))
+    named = join_small(linked, ids, ["root"], "inner").select("fp", "component_id", "root")
+    # Stored, so that both sides of the last join come from a shuffle of their own, which Spark can split at a hot key.
+    classes = stored(distinct.join(named, "fp", "left").select("fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "fp").alias("root")))
+    return prints.join(classes, "fp").select("doc_id", "fp", "component_id", "root")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) of every row of `docs` (doc_id, text).
 
@@ -161,23 +173,22 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     and is linked like any other. Null ids never become a component's id, unless all of its ids are null. An empty
     table gives an empty result. Other columns of `docs` are not read.
     """
-    prints = stored(fingerprints(docs, words))
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    linked = stored(distinct.join(components(fingerprint_links(distinct)).withColumnRenamed("node", "fp"), "fp"))
-    ids = stored(linked.groupBy("root").agg(F.min("least").alias("component_id")))
-    classed = join_small(linked, ids, ["root"], "inner").select("fp", "component_id")
-    # Stored, so that both sides of the last join come from a shuffle of their own, which Spark can split at a hot key.
-    classes = stored(distinct.join(classed, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return classed(docs, words).drop("root")
 
 
 def deduplicated(docs: DataFrame, words: int = 3) -> DataFrame:
     """The documents of which each group keeps one: the row with the component's smallest id (of repeated ids, one).
 
-    Groups whose ids are all null keep one row. Columns stay as they are.
+    Groups whose ids are all null keep one row each, and so do groups that share their smallest id. Columns stay as they are.
     """
-    found = stored(near_duplicates(docs, words))
-    groups = found.groupBy("component_id").agg(F.count("*").alias("n"))
+    found = stored(classed(docs, words))
+    groups = found.groupBy("root", "component_id").agg(F.count("*").alias("n"))
     kept = docs.join(groups.select(F.col("component_id").alias("__component")), F.col("doc_id").eqNullSafe(F.col("__component")), "left_semi")
     repeated = found.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    if not repeated:
+        return kept
+    # Only where ids repeat, a row's own fingerprint has to tell which of the groups it stands for.
+    of_text = F.pandas_udf(lambda texts: texts.map(lambda t: fingerprint(t.encode() if t else None, words)), "bigint")
+    least = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("fp").alias("__of"), F.col("root").alias("__root")).distinct()
+    own = kept.withColumn("__fp", of_text(F.col("text").cast("string"))).join(least, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__of")))
+    return own.dropDuplicates(["__root"]).select(*docs.columns)

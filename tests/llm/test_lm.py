@@ -94,7 +94,7 @@ def test_against_brute_force(spark, monkeypatch, held):
     rows = corpus() + [(500, None), (501, ""), (502, " \t"), (503, "never seen before words"), (7, corpus()[7][1])]
     docs = spark.createDataFrame([(i, t, 0.0) for i, t in rows], "doc_id long, text string, score double").repartition(3)
     got = {}
-    for r in lm.scores(docs, learns(), 2).collect():
+    for r in lm.scores(docs, learns()).collect():
         got.setdefault(r.doc_id, []).append(r)
     c, n = Counter(), 0
     tokens = {k: [*(t or "").lower().split(), None] for k, t in enumerate(t for _, t in rows)}
@@ -108,6 +108,8 @@ def test_against_brute_force(spark, monkeypatch, held):
             assert (r.n_tokens, r.n_known, r.train_tokens) == (len(tokens[k]), sum(c[w] > 0 for w in tokens[k]), n)
             assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens[k]), rel=1e-9)
             assert r.score < 0
+            own = Counter(tokens[k]) if zlib.crc32(str(i).encode()) % 7 != 2 else Counter()
+            assert r.n_elsewhere == sum(c[w] > own[w] for w in tokens[k]) and r.elsewhere == r.n_elsewhere / r.n_tokens
     if held == lm.HELD_WORDS:
         unseen = [r for i, _ in corpus() for r in got[i] if zlib.crc32(str(i).encode()) % 7 == 2]
         assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen) * 0.97
@@ -126,3 +128,35 @@ def test_all_learning_documents_train(spark, monkeypatch):
     docs = spark.createDataFrame(corpus(), "doc_id long, text string")
     assert lm.scores(docs, learns()).count() == len(corpus())
     assert seen == [sum(zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in corpus())]
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 5000)
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    runs = [{r.doc_id: r.score / r.n_tokens for r in lm.scores(docs.repartition(n), learns()).collect()} for n in (1, 16)]
+    assert runs[0].keys() == runs[1].keys() and all(abs(runs[0][k] - runs[1][k]) < 1e-6 for k in runs[0])
+
+
+def test_averaged_copies_against_plain_ones(spark, monkeypatch):
+    """The model of three shards is the mean, by use, of three copies trained here."""
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 6500)
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = lm.word_counts(docs).cache()
+    known = lm.lexicon(counts, len(rows))
+    shards = round(known.tokens / 6500)
+    assert shards == 3
+    h = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h")).collect()}
+    got = lm.trained(docs, known)
+    sums, uses = None, None
+    for shard in range(shards):
+        model = recurrent.Model.new(known.counts[: known.modelled].astype(float), known.ends, known.other_tokens + known.other_distinct + 1)
+        model.unknown_weight = 1 + (known.other_distinct + 1) / max(known.other_tokens, 1)
+        start = [t.astype(float) for t in model.tables()]
+        look = lm.symbols_of(known, model)
+        used = model.train(np.concatenate([look(lm.split(t.encode())) for i, t in sorted(rows, key=lambda r: h[r[0]]) if h[i] % shards == shard]))
+        weighted = [t * n.reshape(-1, *[1] * (t.ndim - 1)) for t, n in zip(model.tables(), used)]
+        sums, uses = (weighted, used) if sums is None else ([a + b for a, b in zip(sums, weighted)], [a + b for a, b in zip(uses, used)])
+    for table, first, s, n in zip(got.tables(), start, sums, uses):
+        n = n.reshape(-1, *[1] * (s.ndim - 1))
+        assert np.allclose(table, np.where(n > 0, s / np.maximum(n, 1), first), atol=1e-5)

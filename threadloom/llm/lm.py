@@ -17,8 +17,11 @@ from .recurrent import CLASS_WORDS, CLASSES, Model
 
 #: Most frequent words that tasks hold with their counts; all others' counts are joined.
 HELD_WORDS = 100_000
-#: One of so many documents trains the network, chosen by a hash of its id; 1: all of them.
-TRAIN_SHARE = 1
+#: Training tokens of a shard, about. A shard trains one copy of the network, so the copies' quality is that of so many
+#: tokens at any size of the input, and the number of copies grows with it.
+SHARD_TOKENS = 4_000_000
+#: Parts in which copies' weights are summed.
+SUM_PARTS = 64
 #: Distinct words that a task counts before it passes them on; texts and bytes that are scored side by side.
 COUNTED_AT_ONCE, TEXTS_AT_ONCE, BYTES_AT_ONCE = 200_000, 2000, 8_000_000
 #: Bins of a doubling of counts, by which the count of the HELD_WORDS-th word is bounded.
@@ -95,38 +98,57 @@ def lexicon(counts: DataFrame, ends: int, held: int = HELD_WORDS) -> Lexicon:
 
 
 def trained(texts: DataFrame, known: Lexicon) -> Model:
-    """The network after one pass over `texts` (text), cut up among tasks; each trains a copy, and copies are averaged.
+    """The network after one pass over all `texts` (doc_id, text), in shards; each trains a copy, and copies are averaged.
 
-    A table's row counts as often as a copy used it, so that copies that never saw a word leave it alone. Averages
-    are summed on the executors, number by number; the driver gets one model.
+    Shards and the order within them follow from hashes of ids and texts alone, so that the model doesn't depend on
+    how the rows were partitioned. A table's row counts as often as a copy used it: copies that never saw a word leave
+    it alone. Weighted sums are made on the executors, part by part; the driver gets one model.
     """
     # Add-one counts of what is no symbol: training texts hold fewer unknown words than texts to come.
     model = Model.new(known.counts[: known.modelled].astype(float), known.ends, known.other_tokens + known.other_distinct + 1)
     model.unknown_weight = 1 + (known.other_distinct + 1) / max(known.other_tokens, 1)
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast((model, known))
+    shared = texts.sparkSession.sparkContext.broadcast((model, known))
+    shards = max(1, round(known.tokens / SHARD_TOKENS))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = shared.value
         look = symbols_of(known, model)
-        seen = [look(split(t.as_py())).astype(np.int32) for b in batches for t in b.column(0).cast(pa.binary())]
+        for b in batches:
+            found = [look(split(t.as_py())).astype("<u2").tobytes() for t in b.column(2).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], ["shard", "h", "symbols"])
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = [np.frombuffer(x.as_py(), "<u2").astype(np.int32) for b in batches for x in b.column(2)]
         if seen:
+            model = shared.value[0]
             used = model.train(np.concatenate(seen))
-            first = 0
-            for table, n in zip(model.tables(), used, strict=True):
-                weight = np.repeat(n, table.size // len(table))
-                at = np.nonzero(weight)[0]
-                yield pa.RecordBatch.from_arrays([pa.array(first + at), pa.array(table.reshape(-1)[at] * weight[at], pa.float64()), pa.array(weight[at])], ["at", "v", "n"])
-                first += table.size
-
-    parts = texts.select(F.col("text").cast("string")).mapInArrow(run, "at bigint, v double, n double")
-    means = parts.groupBy("at").agg((F.sum("v") / F.sum("n")).alias("v")).toArrow()
-    at, v = means["at"].to_numpy(), means["v"].to_numpy()
-    first = 0
-    for table in model.tables():
-        own = (at >= first) & (at < first + table.size)
-        table.reshape(-1)[at[own] - first] = v[own]
-        first += table.size
+            sums = [table.reshape(len(table), -1) * n[:, None] for table, n in zip(model.tables(), used, strict=True)]
+            yield packed(np.concatenate([x.reshape(-1) for x in (*sums, *used)]))
+
+    def packed(flat: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(range(SUM_PARTS), pa.int32()), pa.array([x.tobytes() for x in np.array_split(flat, SUM_PARTS)], pa.binary())], ["part", "v"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                v = np.frombuffer(v.as_py())
+                sums[k] = sums[k] + v if k in sums else v
+        yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "v"])
+
+    h = F.xxhash64("doc_id", "text")
+    rows = texts.select("doc_id", F.col("text").cast("string")).select(F.pmod(h, F.lit(shards)).cast("int").alias("shard"), h.alias("h"), "text")
+    dealt = rows.mapInArrow(read, "shard int, h bigint, symbols binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("h", "symbols")
+    parts = dealt.mapInArrow(train, "part int, v binary").repartition("part").mapInArrow(total, "part int, v binary").collect()
+    if parts:
+        flat = np.concatenate([np.frombuffer(r["v"]) for r in sorted(parts)])
+        tables = model.tables()
+        used, first = flat[sum(t.size for t in tables) :], 0
+        for table in tables:
+            n = np.repeat(used[: len(table)], table.size // len(table))
+            own = n > 0
+            table.reshape(-1)[own] = flat[first : first + table.size][own] / n[own]
+            used, first = used[len(table) :], first + table.size
     return model
 
 
@@ -136,12 +158,13 @@ def symbols_of(known: Lexicon, model: Model):
     return lambda words: np.fromiter(chain(map(table.get, words, repeat(model.unknown)), (model.end,)), np.int64, len(words) + 1)
 
 
-def scores(docs: DataFrame, learns: Column, train_share: int = TRAIN_SHARE) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of `docs` (doc_id, text).
+def scores(docs: DataFrame, learns: Column) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score, n_elsewhere, elsewhere) of every row of `docs`.
 
-    A text's tokens are its words and one end; null texts have the end alone. Rows for which `learns` holds are
-    counted, all of them, and one in `train_share` trains the network. base_score: sum of log10 of add-one
-    probabilities. score: log10 probability by the network, in which a word that is no symbol takes its part of the
+    Reads (doc_id, text). A text's tokens are its words and one end; null texts have the end alone. Rows for which
+    `learns` holds (a null doesn't) are counted and train the network, all of them. base_score: sum of log10 of add-one
+    probabilities. n_elsewhere: tokens that the training rows hold more often than this row brought them there, which
+    tells what the corpus knows of a text from what the text itself put in; elsewhere: its share of the tokens. score: log10 probability by the network, in which a word that is no symbol takes its part of the
     unknown symbol by its count. Words beyond the HELD_WORDS most frequent get their counts by a join; whole texts
     are scored.
 
@@ -152,7 +175,7 @@ def scores(docs: DataFrame, learns: Column, train_share: int = TRAIN_SHARE) -> D
     learning = docs.filter(learns)
     counts = stored(word_counts(learning))
     known = lexicon(counts, learning.count())
-    model = trained(learning.filter(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(train_share)) == 0), known)
+    model = trained(learning, known)
     shared = spark.sparkContext.broadcast((known, model))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -164,32 +187,38 @@ def scores(docs: DataFrame, learns: Column, train_share: int = TRAIN_SHARE) -> D
         ids: list = []
         hashes: list = []
         texts: list = []
+        learned: list = []
         size = 0
 
         def scored() -> pa.RecordBatch:
             symbols, rows = [], []
-            for t in texts:
+            for t, own in zip(texts, learned, strict=True):
                 words = split(t)
                 at = np.fromiter(map(table.get, words, repeat(-1)), np.int64, len(words))
                 missing = at < 0
                 rare = Counter(words[i] for i in np.nonzero(missing)[0])
                 held = at[~missing]
-                rows.append((len(words) + 1, len(held) + (known.ends > 0), base[held].sum() + base_end, part[held].sum(), rare))
+                again = len(held)
+                if own and again and len(held) >= known.counts[-1]:
+                    distinct, times = np.unique(held, return_counts=True)
+                    again -= int(times[known.counts[distinct] <= times].sum())
+                rows.append((len(words) + 1, len(held) + (known.ends > 0), base[held].sum() + base_end, part[held].sum(), rare, again + (known.ends > own)))
                 symbols.append(np.append(np.where((at >= 0) & (at < known.modelled), at, model.unknown), model.end))
             odds = model.score(symbols) / np.log(10) + np.array([r[3] for r in rows])
             rare_kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
             out = [
                 pa.array(ids, id_type), pa.array(hashes, pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-                pa.array([r[2] for r in rows], pa.float64()), pa.array(odds, pa.float64()), pa.array([[{"word": w, "n": n} for w, n in r[4].items()] for r in rows], rare_kind),
+                pa.array([r[2] for r in rows], pa.float64()), pa.array(odds, pa.float64()), pa.array([r[5] for r in rows], pa.int64()), pa.array(learned, pa.bool_()), pa.array([[{"word": w, "n": n} for w, n in r[4].items()] for r in rows], rare_kind),
             ]
-            ids.clear(), hashes.clear(), texts.clear()
-            return pa.RecordBatch.from_arrays(out, ["doc_id", "h", "n_tokens", "n_known", "base_score", "score", "rare"])
+            ids.clear(), hashes.clear(), texts.clear(), learned.clear()
+            return pa.RecordBatch.from_arrays(out, ["doc_id", "h", "n_tokens", "n_known", "base_score", "score", "n_elsewhere", "learned", "rare"])
 
         for b in batches:
             id_type = b.column(0).type
-            for i, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()), strict=True):
+            for i, h, own, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).cast(pa.binary()), strict=True):
                 ids.append(i)
                 hashes.append(h)
+                learned.append(own)
                 texts.append(t.as_py())
                 size += len(texts[-1] or b"")
                 if len(texts) >= TEXTS_AT_ONCE or size >= BYTES_AT_ONCE:
@@ -199,18 +228,24 @@ def scores(docs: DataFrame, learns: Column, train_share: int = TRAIN_SHARE) -> D
             yield scored()
 
     text = F.col("text").cast("string")
-    rows = docs.select("doc_id", F.xxhash64(text).alias("h"), text.alias("text"))
-    rows = stored(rows.mapInArrow(run, f"doc_id {kind}, h bigint, n_tokens bigint, n_known bigint, base_score double, score double, rare array<struct<word:binary,n:bigint>>"))
-    rare = rows.select("doc_id", "h", F.explode("rare").alias("r")).select("doc_id", "h", F.col("r.word").alias("word"), F.col("r.n").alias("n"))
-    c = F.coalesce("c", F.lit(0))
+    rows = docs.select("doc_id", F.xxhash64(text).alias("h"), F.coalesce(learns, F.lit(False)).alias("learned"), text.alias("text"))
+    sums = ("n_tokens", "n_known", "base_score", "score", "n_elsewhere")
+    rows = stored(rows.mapInArrow(run, f"doc_id {kind}, h bigint, n_tokens bigint, n_known bigint, base_score double, score double, n_elsewhere bigint, learned boolean, rare array<struct<word:binary,n:bigint>>"))
+    rare = rows.select("doc_id", "h", "learned", F.explode("rare").alias("r")).select("doc_id", "h", "learned", F.col("r.word").alias("word"), F.col("r.n").alias("n"))
+    c, n = F.coalesce("c", F.lit(0)), F.col("n")
     of_rare = rare.join(counts, "word", "left").select(
         "doc_id", "h", F.lit(0).cast("bigint").alias("copies"), F.lit(0).cast("bigint").alias("n_tokens"),
-        F.when(c > 0, F.col("n")).otherwise(0).alias("n_known"),
-        (F.col("n") * F.log10((c + 1) / F.lit(float(known.tokens + known.distinct + 1)))).alias("base_score"),
-        (F.col("n") * F.log10((c + 1) / F.lit(float(known.other_tokens + known.other_distinct + 1)))).alias("score"),
+        F.when(c > 0, n).otherwise(0).alias("n_known"),
+        (n * F.log10((c + 1) / F.lit(float(known.tokens + known.distinct + 1)))).alias("base_score"),
+        (n * F.log10((c + 1) / F.lit(float(known.other_tokens + known.other_distinct + 1)))).alias("score"),
+        F.when(c > F.when(F.col("learned"), n).otherwise(0), n).otherwise(0).alias("n_elsewhere"),
     )
-    of_rows = rows.select("doc_id", "h", F.lit(1).cast("bigint").alias("copies"), "n_tokens", "n_known", "base_score", "score")
+    of_rows = rows.select("doc_id", "h", F.lit(1).cast("bigint").alias("copies"), *sums)
     # Copies of a row bring their rare words as often as themselves, so sums over copies are shared by them.
-    both = of_rows.unionByName(of_rare).groupBy("doc_id", "h").agg(*[F.sum(x).alias(x) for x in ("copies", "n_tokens", "n_known", "base_score", "score")])
+    both = of_rows.unionByName(of_rare).groupBy("doc_id", "h").agg(*[F.sum(x).alias(x) for x in ("copies", *sums)])
     each = both.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
-    return each.select("doc_id", *[(F.col(x) / F.col("copies")).cast("bigint").alias(x) for x in ("n_tokens", "n_known")], F.lit(known.tokens).cast("bigint").alias("train_tokens"), *[(F.col(x) / F.col("copies")).alias(x) for x in ("base_score", "score")])
+    of = {x: F.col(x) / F.col("copies") for x in sums}
+    return each.select(
+        "doc_id", *[of[x].cast("bigint").alias(x) for x in ("n_tokens", "n_known")], F.lit(known.tokens).cast("bigint").alias("train_tokens"),
+        *[of[x].alias(x) for x in ("base_score", "score")], of["n_elsewhere"].cast("bigint").alias("n_elsewhere"), (of["n_elsewhere"] / of["n_tokens"]).alias("elsewhere"),
+    )

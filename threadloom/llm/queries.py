@@ -31,7 +31,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder(7) == 2
     found = lm.scores(table(spark, sf_dir, "documents"), ~held_out)
-    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_elsewhere", "elsewhere")
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:

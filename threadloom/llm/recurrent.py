@@ -15,6 +15,8 @@ TRAIN_STEPS = 200
 #: Places on the second half of the way whose weights are averaged.
 AVERAGED = 16
 STEP = 0.2
+#: The largest logit, the least sum of exponentials, and a vector that sums rows.
+TOP, TINY, ONES = np.float32(60), np.float32(1e-30), np.ones(CLASSES + CLASS_WORDS, np.float32)
 
 
 @dataclass
@@ -71,27 +73,35 @@ class Model:
         a[:, :HIDDEN] *= 0.5
         np.tanh(a, out=a)
         keep, new = 0.5 + 0.5 * a[:, :HIDDEN], a[:, HIDDEN:]
-        return new + keep * (h - new), keep, new
+        out = h - new
+        out *= keep
+        out += new
+        return out, keep, new
 
     def log_odds(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Natural logarithm of each symbol's probability after each state."""
-        out = np.empty(len(symbols))
-        for at in range(0, len(symbols), 16384):
-            s, y = states[at : at + 16384], symbols[at : at + 16384]
-            z = s @ self.classes
-            z += self.class_bias
-            of_class = np.where(y < self.end, y // CLASS_WORDS, CLASSES + y - self.end)
-            out[at : at + len(y)] = z[np.arange(len(y)), of_class] - log_sum(z)
+        out = np.empty(len(symbols), np.float32)
         order = np.argsort(symbols, kind="stable")
-        ends = np.searchsorted(symbols[order], np.arange(CLASSES + 1) * CLASS_WORDS)
-        for c in range(CLASSES):
-            for at in range(ends[c], ends[c + 1], 16384):
-                own = order[at : min(at + 16384, ends[c + 1])]
-                z = states[own] @ self.words[c]
-                z += self.word_bias[c]
-                out[own] += z[np.arange(len(own)), symbols[own] - c * CLASS_WORDS] - log_sum(z)
+        ends = np.searchsorted(symbols, np.arange(CLASSES + 1) * CLASS_WORDS, sorter=order)
+        for at in range(0, len(order), 16384):
+            own = order[at : at + 16384]
+            z = states[own] @ self.classes
+            z += self.class_bias
+            out[own] = chosen_log(z, self.class_of(symbols[own]))
+        for at in range(0, ends[-1], 16384):
+            own = order[at : min(at + 16384, ends[-1])]
+            h, of_class = states[own], symbols[own] // CLASS_WORDS
+            z = np.empty((len(own), CLASS_WORDS), h.dtype)
+            cut = np.searchsorted(of_class, np.arange(CLASSES + 1))
+            for c in np.nonzero(np.diff(cut))[0].tolist():
+                np.matmul(h[cut[c] : cut[c + 1]], self.words[c], out=z[cut[c] : cut[c + 1]])
+            z += self.word_bias[of_class]
+            out[own] += chosen_log(z, symbols[own] - of_class * CLASS_WORDS)
         return out
 
+    def class_of(self, symbols: np.ndarray) -> np.ndarray:
+        return np.where(symbols < self.end, symbols // CLASS_WORDS, CLASSES + symbols - self.end)
+
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """Natural logarithm of each text's probability; a text is its symbols, END last.
 
@@ -134,51 +144,59 @@ class Model:
         """
         steps, streams = inputs.shape
         olds, keeps, news, outs = [], [], [], []
+        goes_on = (inputs != self.end).astype(self.recur.dtype)[:, :, None]
         for t in range(steps):
-            h = h * (inputs[t] != self.end)[:, None]
+            h = h * goes_on[t]
             olds.append(h)
             h, keep, new = self.step(inputs[t], h)
             keeps.append(keep)
             news.append(new)
             outs.append(h)
-        s, y = np.concatenate(outs), targets.reshape(-1)
-        n = len(y)
-        z = s @ self.classes + self.class_bias
-        p = np.exp(z - log_sum(z)[:, None])
-        of_class = np.where(y < self.end, y // CLASS_WORDS, CLASSES + y - self.end)
-        loss = -float(np.log(np.maximum(p[np.arange(n), of_class], 1e-30)).sum())
-        p[np.arange(n), of_class] -= 1
-        p[y == self.unknown] *= np.float32(self.unknown_weight)
-        g_classes, g_class_bias, back = s.T @ p, p.sum(axis=0), p @ self.classes.T
-        used, g_words, g_bias = [], [], []
-        for c in np.unique(of_class[of_class < CLASSES]):
-            own = np.nonzero(of_class == c)[0]
-            z = s[own] @ self.words[c] + self.word_bias[c]
-            q = np.exp(z - log_sum(z)[:, None])
-            w = y[own] - c * CLASS_WORDS
-            loss -= float(np.log(np.maximum(q[np.arange(len(own)), w], 1e-30)).sum())
-            q[np.arange(len(own)), w] -= 1
-            used.append(c)
-            g_words.append(s[own].T @ q)
-            g_bias.append(q.sum(axis=0))
-            back[own] += q @ self.words[c].T
-        back = back.reshape(steps, streams, HIDDEN)
-        g_enter = np.empty((steps, streams, 2 * HIDDEN), np.float32)
-        g_recur, later = np.zeros_like(self.recur), np.zeros((streams, HIDDEN), np.float32)
+        y = targets.reshape(-1)
+        # In the order of targets, those of a class lie together.
+        order = np.argsort(y, kind="stable")
+        s, y = np.concatenate(outs)[order], y[order]
+        z = s @ self.classes
+        z += self.class_bias
+        loss = -errors(z, self.class_of(y))
+        z[np.searchsorted(y, self.unknown) :] *= np.float32(self.unknown_weight)
+        g_classes, g_class_bias, back = s.T @ z, z.sum(axis=0), z @ self.classes.T
+        ends = np.searchsorted(y, np.arange(CLASSES + 1) * CLASS_WORDS)
+        used = np.nonzero(np.diff(ends))[0]
+        g_words = np.empty((len(used), *self.words.shape[1:]), s.dtype)
+        z = np.empty((ends[-1], CLASS_WORDS), s.dtype)
+        for c in used.tolist():
+            np.matmul(s[ends[c] : ends[c + 1]], self.words[c], out=z[ends[c] : ends[c + 1]])
+        of_class = y[: ends[-1]] // CLASS_WORDS
+        z += self.word_bias[of_class]
+        loss -= errors(z, y[: ends[-1]] - of_class * CLASS_WORDS)
+        for k, c in enumerate(used.tolist()):
+            own = slice(ends[c], ends[c + 1])
+            np.matmul(s[own].T, z[own], out=g_words[k])
+            back[own] += z[own] @ self.words[c].T
+        g_bias = np.add.reduceat(z, ends[used], axis=0) if len(used) else np.empty((0, CLASS_WORDS), np.float32)
+        placed = np.empty_like(back)
+        placed[order] = back
+        back = placed.reshape(steps, streams, HIDDEN)
+        g_enter = np.empty((steps, streams, 2 * HIDDEN), s.dtype)
+        later, turned = np.zeros((streams, HIDDEN), np.float32), np.ascontiguousarray(self.recur.T)
         for t in range(steps - 1, -1, -1):
-            g = back[t] + later
-            a = g_enter[t]
-            a[:, :HIDDEN] = g * (olds[t] - news[t]) * keeps[t] * (1 - keeps[t])
-            a[:, HIDDEN:] = g * (1 - keeps[t]) * (1 - news[t] * news[t])
-            g_recur += olds[t].T @ a
-            later = (g * keeps[t] + a @ self.recur.T) * (inputs[t] != self.end)[:, None]
-        rows, at = np.unique(inputs.reshape(-1), return_inverse=True)
-        summed = np.zeros((len(rows), 2 * HIDDEN), np.float32)
-        np.add.at(summed, at, g_enter.reshape(-1, 2 * HIDDEN))
+            g, keep, a = back[t], keeps[t], g_enter[t]
+            g += later
+            carried = g * keep
+            g -= carried  # by the proposal
+            a[:, HIDDEN:] = g * (1 - news[t] * news[t])
+            a[:, :HIDDEN] = g * keep * (olds[t] - news[t])
+            later = a @ turned
+            later += carried
+            later *= goes_on[t]
+        g_recur = np.concatenate(olds).T @ g_enter.reshape(-1, 2 * HIDDEN)
+        x = inputs.reshape(-1)
+        order = np.argsort(x, kind="stable")
+        first = np.nonzero(np.append(True, np.diff(x[order]) > 0))[0]
+        summed = np.add.reduceat(g_enter.reshape(-1, 2 * HIDDEN)[order], first, axis=0)
         every = slice(None)
-        used = np.array(used, np.int64)
-        word_grads = (np.array(g_words), np.array(g_bias)) if len(used) else (np.zeros((0, HIDDEN, CLASS_WORDS)), np.zeros((0, CLASS_WORDS)))
-        return loss, [(rows, summed), (every, g_recur), (every, g_classes), (every, g_class_bias), (used, word_grads[0]), (used, word_grads[1])], h
+        return loss, [(x[order[first]], summed), (every, g_recur), (every, g_classes), (every, g_class_bias), (used, g_words), (used, g_bias)], h
 
     def train(self, symbols: np.ndarray, passes: int = 1) -> list[np.ndarray]:
         """Passes over texts in a row, cut into streams, by steps that adapt to each weight (Adagrad).
@@ -201,7 +219,7 @@ class Model:
             n = y[at : at + TRAIN_WINDOW].size
             _, grads, h = self.gradients(x[at : at + TRAIN_WINDOW], y[at : at + TRAIN_WINDOW], h)
             for table, square, count, (rows, g) in zip(self.tables(), squares, used, grads, strict=True):
-                g = g / np.sqrt(n)
+                g = g * np.float32(n**-0.5)
                 square[rows] += g * g
                 table[rows] -= STEP * g / np.sqrt(square[rows] + 1)
                 count[rows] += 1
@@ -214,6 +232,20 @@ class Model:
         return used
 
 
-def log_sum(z: np.ndarray) -> np.ndarray:
-    top = z.max(axis=1)
-    return top + np.log(np.exp(z - top[:, None]).sum(axis=1))
+def chosen_log(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Logarithm of the softmax of each row at one place. Logits are sums of few bounded terms, so they need no shift."""
+    np.minimum(z, TOP, out=z)
+    own = z[np.arange(len(z)), chosen]
+    np.exp(z, out=z)
+    return own - np.log(np.maximum(z @ ONES[: z.shape[1]], TINY))
+
+
+def errors(z: np.ndarray, chosen: np.ndarray) -> float:
+    """Turns rows into their softmax less one at the chosen place; the sum of the logarithms at these places."""
+    np.minimum(z, TOP, out=z)
+    np.exp(z, out=z)
+    z /= np.maximum(z @ ONES[: z.shape[1]], TINY)[:, None]
+    at = np.arange(len(z)), chosen
+    out = float(np.log(np.maximum(z[at], TINY)).sum())
+    z[at] -= 1
+    return out

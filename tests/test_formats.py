@@ -176,3 +176,20 @@ def test_any_claude_log_is_sound(seed):
     parsed = formats.claude(log(*records), "S.jsonl")
     if parsed:
         sound(parsed)
+
+
+def test_codex_texts_of_calls_replies_and_agents():
+    call = formats.codex_call
+    assert call("function_call", "shell", {"arguments": '{"command": ["ls", "-l", 3]}'}).text == "shell: ls -l 3"
+    assert call("function_call", "exec_command", {"arguments": {"cmd": "pwd", "command": "x"}}).commands == ["pwd"]
+    assert call("function_call", "read", {"arguments": '{"path": "a/b", "n": 1}'}).files == ["a/b"]
+    assert call("function_call", "read", {"arguments": "{broken"}).text == "read"
+    patch = "*** Begin Patch\n*** Add File: a.py\n+x\n*** Update File: b.py\n*** Delete File: c\n*** Add File: d\n"
+    for made in (call("custom_tool_call", "apply_patch", {"input": patch}), call("function_call", "apply_patch", {"arguments": {"input": patch}})):
+        assert made.text == "apply_patch: a.py, b.py, c" and made.files == ["a.py", "b.py", "c", "d"]
+    assert call("custom_tool_call", "note", {"input": "y" * 200}).text == "note: " + "y" * 160
+    assert formats.server_reply({"Ok": {"content": [{"text": "a"}, {"image": 1}, {"text": "b"}]}}) == "a\nb"
+    assert formats.server_reply({"Err": "no"}) == '{"Err": "no"}' and formats.server_reply(None) == "" and formats.server_reply("plain") == "plain"
+    assert formats.told({"content": [{"text": "go"}, {"text": " on"}]}) == "go on"
+    assert formats.told({"content": " ", "author": "a", "recipient": "b"}) == "[inter-agent message: a -> b]" and formats.told({}) == "[inter-agent message]"
+    assert [formats.turns_back(x) for x in (None, 0, "x", 3, "2", 2.7, -1, True)] == [1, 1, 1, 3, 2, 2, -1, 1]

@@ -20,25 +20,52 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from . import formats
 from .formats import Unreadable, epoch_ms, list_of, record_of
 
-# Fields that may leave the store, by kind: s text, i whole number, n number, b flag, t text or number.
+TEXT, WHOLE, NUMBER, FLAG, TEXT_OR_NUMBER = (str,), (int,), (int, float), (bool,), (str, int, float)
+# Fields that may leave the store, by record and field, with their kinds.
 ALLOWED = {
-    "bubble": "_v:i type:i text:s createdAt:t requestId:s usageUuid:s serverBubbleId:s isSimulatedMsg:b simulatedMsgReason:i isPlanExecution:b planId:s planTitle:s subagentSpawnTaskToolCallId:s isThought:b isSummarization:b",
-    "simulated": "taskId:s title:s",
-    "timing": "clientRpcSendTime:n clientEndTime:n clientSettleTime:n clientStartTime:n",
-    "tool": "modelCallId:s name:s status:s tool:i toolCallId:s toolIndex:i error:s userDecision:s",
-    "tool_extra": "subagentComposerId:s startedAtMs:n status:s terminationReason:s isPruned:b totalFiles:i totalMatches:i path:s pattern:s outputMode:s backgroundShellId:s taskId:s",
-    "image": "uuid:s path:s loadedAt:t addedWithoutMention:b",
-    "size": "width:n height:n",
-    "workspace": "id:s type:s",
-    "uri": "$mid:i fsPath:s path:s scheme:s",
-    "repo": "repoPath:s repoName:s",
-    "branch": "branchName:s lastInteractionAt:n",
-    "place": "type:s status:s worktreeId:s worktreePath:s sourceRepoRootPath:s ownership:s retentionPolicy:s",
-    "parent": "parentComposerId:s rootParentConversationId:s parentRequestId:s rootParentRequestId:s conversationLengthAtSpawn:i subagentType:i subagentTypeName:s toolCallId:s",
-    "session": "createdAt:n lastUpdatedAt:n status:s name:s subtitle:s recency:n checkpointAt:n",
-}
-KINDS = {"s": (str,), "i": (int,), "n": (int, float), "b": (bool,), "t": (str, int, float)}
-LISTS = {k: [x.rsplit(":", 1) for x in v.split()] for k, v in ALLOWED.items()}
+    "bubble": {
+        "_v": WHOLE, "type": WHOLE, "text": TEXT, "createdAt": TEXT_OR_NUMBER, "requestId": TEXT, "usageUuid": TEXT, "serverBubbleId": TEXT, "isSimulatedMsg": FLAG, "simulatedMsgReason": WHOLE, "isPlanExecution": FLAG, "planId": TEXT, "planTitle": TEXT, "subagentSpawnTaskToolCallId": TEXT, "isThought": FLAG, "isSummarization": FLAG,
+    },
+    "simulated": {
+        "taskId": TEXT, "title": TEXT,
+    },
+    "timing": {
+        "clientRpcSendTime": NUMBER, "clientEndTime": NUMBER, "clientSettleTime": NUMBER, "clientStartTime": NUMBER,
+    },
+    "tool": {
+        "modelCallId": TEXT, "name": TEXT, "status": TEXT, "tool": WHOLE, "toolCallId": TEXT, "toolIndex": WHOLE, "error": TEXT, "userDecision": TEXT,
+    },
+    "tool_extra": {
+        "subagentComposerId": TEXT, "startedAtMs": NUMBER, "status": TEXT, "terminationReason": TEXT, "isPruned": FLAG, "totalFiles": WHOLE, "totalMatches": WHOLE, "path": TEXT, "pattern": TEXT, "outputMode": TEXT, "backgroundShellId": TEXT, "taskId": TEXT,
+    },
+    "image": {
+        "uuid": TEXT, "path": TEXT, "loadedAt": TEXT_OR_NUMBER, "addedWithoutMention": FLAG,
+    },
+    "size": {
+        "width": NUMBER, "height": NUMBER,
+    },
+    "workspace": {
+        "id": TEXT, "type": TEXT,
+    },
+    "uri": {
+        "$mid": WHOLE, "fsPath": TEXT, "path": TEXT, "scheme": TEXT,
+    },
+    "repo": {
+        "repoPath": TEXT, "repoName": TEXT,
+    },
+    "branch": {
+        "branchName": TEXT, "lastInteractionAt": NUMBER,
+    },
+    "place": {
+        "type": TEXT, "status": TEXT, "worktreeId": TEXT, "worktreePath": TEXT, "sourceRepoRootPath": TEXT, "ownership": TEXT, "retentionPolicy": TEXT,
+    },
+    "parent": {
+        "parentComposerId": TEXT, "rootParentConversationId": TEXT, "parentRequestId": TEXT, "rootParentRequestId": TEXT, "conversationLengthAtSpawn": WHOLE, "subagentType": WHOLE, "subagentTypeName": TEXT, "toolCallId": TEXT,
+    },
+    "session": {
+        "createdAt": NUMBER, "lastUpdatedAt": NUMBER, "status": TEXT, "name": TEXT, "subtitle": TEXT, "recency": NUMBER, "checkpointAt": NUMBER,
+    },
+}
 SETTLED = (None, "completed", "aborted")
 #: From this version on, a session without a status may be half written.
 STATUS_SINCE = 14
@@ -52,14 +79,14 @@ class Unsettled(Unreadable):
         self.again = again
 
 
-def fits(value: object, kind: str) -> bool:
-    return isinstance(value, KINDS[kind]) and (kind == "b" or not isinstance(value, bool)) and not (isinstance(value, float) and not math.isfinite(value))
+def fits(value: object, kind: tuple) -> bool:
+    return isinstance(value, kind) and (kind == FLAG or not isinstance(value, bool)) and not (isinstance(value, float) and not math.isfinite(value))
 
 
 def picked(value: object, what: str) -> dict:
     """The allowed fields of a record, of the right kind."""
     value = record_of(value)
-    return {k: value[k] for k, kind in LISTS[what] if k in value and fits(value[k], kind)}
+    return {k: value[k] for k, kind in ALLOWED[what].items() if k in value and fits(value[k], kind)}
 
 
 def full(**parts: object) -> dict:

@@ -270,10 +270,12 @@ def test_merges_do_not_depend_on_arrival(spark, seed):
     (row,) = merge.merge_events(df, ["n"]).collect()
     assert (row.n, row.text, row.origin_session_id) == (5, "x", "s2")
     assert {r.n for r in merge.first_identity(df, ["n"]).filter("kept").collect()} == {1, 3, 5}
-    ranked = [("e", "t", "a", "m", None, *r) for r in ((0, 9, "h", "b"), (1, 1, "h", "z"), (1, 2, "h", "y"))] + [("i", "t", "a", "m", None, *r) for r in ((0, 1, "h", "q"), (0, 2, "h", "p"))] + [("c", t, "a", "m", None, 1, 1, "h", t) for t in "uv"]
+    ranked = [("e", "t", *r) for r in ((None, 0, 9, "h", "b"), ("s", 0, 1, "h", "z"), ("s", 0, 2, "h", "y"))] + [("i", "t", None, 0, *r) for r in ((1, "h", "q"), (2, "h", "p"))]
+    ranked += [("c", "v", "s", 1, 0, "", "old"), ("c", "u", "s", 0, 5, "h", "new"), ("o", "t", "s", 1, 0, "", "old"), ("o", "t", "x", 0, 3, "h", "a"), ("o", "t", "s", 0, 2, "h", "b"), ("n", "u", None, 0, 2, "h", "b"), ("n", "t", None, 0, 1, "h", "a")]
     random.Random(seed).shuffle(ranked)
-    got = merge.merge_ranked(spark.createDataFrame(ranked, "event_id string, ts string, actor string, type string, tool_call_event_id string, authored int, revision int, head_digest string, digest string"))
-    assert {r.event_id: r.digest for r in got.collect()} == {"e": "y", "i": "p"}
+    rows = spark.createDataFrame(ranked, "event_id string, ts string, origin_session_id string, accepted int, revision int, head_digest string, digest string").selectExpr("*", "'a' AS actor", "'m' AS type", "cast(NULL AS string) AS tool_call_event_id").repartition(3)
+    assert {r.event_id: r.digest for r in merge.merge_ranked(rows).collect()} == {"e": "y", "i": "p", "c": "old", "o": "b", "n": "a"}
+    assert {(r.event_id, r.digest) for r in merge.ranked_identity(rows).filter("NOT kept").collect()} == {("c", "new"), ("o", "a"), ("n", "b")}
 
 
 def test_heads_need_a_revision_and_a_digest(spark):

@@ -247,7 +247,7 @@ def test_export_archive_and_origins(spark, tmp_path):
     state = {}
     assert editor.export(spark, str(path), str(root), state, 0.0)["published"] == 2
     assert editor.export(spark, str(path), str(root), state, 0.0)["unchanged"] == 2
-    assert store.refresh_archive(str(root)) == {"heads": 2, "sessions": 2}
+    assert store.refresh_archive(str(root)) == {"heads": 2, "sessions": 2, "refused": 0}
     assert store.refresh_archive(str(root))["heads"] == 0
     save(a="hi", b="", c="made up")
     assert editor.export(spark, str(path), str(root), state, 0.0)["published"] == 1

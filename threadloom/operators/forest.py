@@ -42,33 +42,32 @@ def tips(events: DataFrame) -> DataFrame:
 
 def live_events(events: DataFrame) -> DataFrame:
     """(session_id, event_id) on the path from each session's tip to its root; parents must come before their children."""
-    spark = events.sparkSession
-    tips(events).createOrReplaceTempView("__tips")
-    events.select("session_id", "event_id", "parent_id", "line").createOrReplaceTempView("__forest")
-    return spark.sql("""
-        WITH RECURSIVE up(session_id, event_id, line) MAX RECURSION LEVEL 1000000 AS (
-          SELECT f.session_id, f.event_id, f.line FROM __tips t JOIN __forest f ON f.session_id = t.session_id AND f.event_id = t.tip
-          UNION ALL
-          SELECT p.session_id, p.event_id, p.line FROM up JOIN __forest f ON f.session_id = up.session_id AND f.event_id = up.event_id
-            JOIN __forest p ON p.session_id = f.session_id AND p.event_id = f.parent_id AND p.line < f.line)
-        SELECT session_id, event_id FROM up
-    """)
+    before = events.select("session_id", F.col("event_id").alias("parent_id"), F.col("line").alias("parent_line"))
+    ordered = events.join(before, ["session_id", "parent_id"], "left").withColumn("up", F.when(F.col("parent_line") < F.col("line"), F.col("parent_id")))
+    return on_the_way(tips(events), ordered.select("session_id", "event_id", "up"))
 
 
 def live_by_pointers(events: DataFrame) -> DataFrame:
-    """As live_events, for long transcripts: marks double their reach along the parents each round."""
-    jumps = events.select("session_id", "event_id", F.col("parent_id").alias("up"))
-    marked = tips(events).select("session_id", F.col("tip").alias("event_id"))
-    before = -1
+    """As live_events where parents are known to come before their children."""
+    return on_the_way(tips(events), events.select("session_id", "event_id", F.col("parent_id").alias("up")))
+
+
+def on_the_way(tip: DataFrame, jumps: DataFrame) -> DataFrame:
+    """(session_id, event_id) from tips (session_id, tip) along jumps (session_id, event_id, up), tips included.
+
+    Jumps double their reach each round, so rounds grow with the logarithm of the longest way. Each round is stored.
+    """
+    keys = ["session_id", "event_id"]
+    jumps = durable(jumps.filter("up IS NOT NULL"))
+    marked = durable(tip.select("session_id", F.col("tip").alias("event_id")))
     while True:
-        more = marked.join(jumps, ["session_id", "event_id"]).filter("up IS NOT NULL").select("session_id", F.col("up").alias("event_id"))
-        marked = durable(marked.union(more).distinct())
-        n = marked.count()
-        if n == before:
+        more = marked.join(jumps, keys).select("session_id", F.col("up").alias("event_id"))
+        more = durable(more.distinct().join(marked, keys, "left_anti"))
+        if not more.limit(1).count():
             return marked
-        before = n
-        far = jumps.select("session_id", F.col("event_id").alias("up"), F.col("up").alias("u2"))
-        jumps = durable(jumps.join(far, ["session_id", "up"], "left").select("session_id", "event_id", F.col("u2").alias("up")))
+        marked = durable(marked.unionByName(more))
+        far = jumps.select("session_id", F.col("event_id").alias("up"), F.col("up").alias("far"))
+        jumps = durable(jumps.join(far, ["session_id", "up"]).select(*keys, F.col("far").alias("up")))
 
 
 def places(events: DataFrame) -> DataFrame:

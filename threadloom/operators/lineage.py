@@ -1,4 +1,4 @@
-"""Lineage of sessions: ancestors by recursion, children and siblings in order."""
+"""Lineage of sessions: ancestors by jumps that double, children and siblings in order."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import durable
 from .corpus import Corpus
 
 DEEPEST = 100
@@ -15,22 +16,25 @@ DEEPEST = 100
 def ancestors(sessions: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """(session_id, ancestor_id, depth, missing) up the parents, DEEPEST at most, to a missing one or a cycle.
 
-    All sessions climb together: each round is one join of those that still have a parent.
+    All sessions climb together. Jumps along the parents double their reach each round, so there are as many rounds
+    as the logarithm of the greatest depth; each is stored. In a cycle the way ends before it comes back to a session.
     """
-    spark = sessions.sparkSession
     start = sessions if of is None else sessions.join(of.select("session_id"), "session_id", "left_semi")
-    sessions.select("session_id", "parent_session_id").createOrReplaceTempView("__lineage_all")
-    start.select("session_id", "parent_session_id").createOrReplaceTempView("__lineage_start")
-    return spark.sql(f"""
-        WITH RECURSIVE up(session_id, ancestor_id, depth, seen) MAX RECURSION LEVEL {2 * DEEPEST} AS (
-          SELECT session_id, parent_session_id, 1, array(session_id) FROM __lineage_start WHERE parent_session_id IS NOT NULL AND parent_session_id <> session_id
-          UNION ALL
-          SELECT up.session_id, s.parent_session_id, depth + 1, array_append(seen, up.ancestor_id)
-          FROM up JOIN __lineage_all s ON s.session_id = up.ancestor_id
-          WHERE s.parent_session_id IS NOT NULL AND depth < {DEEPEST} AND NOT array_contains(array_append(seen, up.ancestor_id), s.parent_session_id)
-        )
-        SELECT up.session_id, up.ancestor_id, up.depth, s.session_id IS NULL AS missing FROM up LEFT JOIN __lineage_all s ON s.session_id = up.ancestor_id
-    """)
+    jumps = sessions.filter("parent_session_id IS NOT NULL AND parent_session_id <> session_id").select("session_id", F.col("parent_session_id").alias("up"))
+    found = start.select("session_id", F.col("session_id").alias("at"), F.lit(0).alias("depth"))
+    reach = 1
+    while reach <= DEEPEST:
+        step = jumps.select(F.col("session_id").alias("at"), "up")
+        more = found.join(step, "at").select("session_id", F.col("up").alias("at"), (F.col("depth") + reach).alias("depth")).filter(F.col("depth") <= DEEPEST)
+        more = durable(more)
+        if not more.limit(1).count():
+            break
+        found = durable(found.unionByName(more).groupBy("session_id", "at").agg(F.min("depth").alias("depth")))
+        reach *= 2
+        if reach <= DEEPEST:
+            jumps = durable(jumps.join(jumps.select(F.col("session_id").alias("up"), F.col("up").alias("far")), "up").select("session_id", F.col("far").alias("up")))
+    known = sessions.select(F.col("session_id").alias("at"), F.lit(True).alias("known"))
+    return found.filter("depth > 0").join(known, "at", "left").select("session_id", F.col("at").alias("ancestor_id"), "depth", F.col("known").isNull().alias("missing"))
 
 
 def in_order(rows: DataFrame, by: str) -> DataFrame:
@@ -40,20 +44,31 @@ def in_order(rows: DataFrame, by: str) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(order)).withColumn("total", F.count("*").over(W.partitionBy(by)))
 
 
-def children(sessions: DataFrame, of: DataFrame | None = None, limit: int = 50) -> DataFrame:
-    """(parent_session_id, session_id, nth, total, relation) of the sessions that came from others."""
+def children(sessions: DataFrame, of: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """(parent_session_id, session_id, nth, total, relation, title) of the sessions that came from others; `limit`: so many of a parent."""
     rows = sessions.filter("parent_session_id IS NOT NULL")
     if of is not None:
         rows = rows.join(of.select(F.col("session_id").alias("parent_session_id")), "parent_session_id", "left_semi")
-    return in_order(rows, "parent_session_id").filter(F.col("nth") <= limit).select("parent_session_id", "session_id", "nth", "total", "relation", "title")
+    found = in_order(rows, "parent_session_id")
+    found = found if limit is None else found.filter(F.col("nth") <= limit)
+    return found.select("parent_session_id", "session_id", "nth", "total", "relation", "title")
 
 
-def siblings(sessions: DataFrame, of: DataFrame | None = None, limit: int = 50) -> DataFrame:
-    """(session_id, sibling_id, nth, total): other children of a session's parent."""
+def siblings(sessions: DataFrame, of: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """(session_id, sibling_id, nth, total): other children of a session's parent, in order; `limit`: so many of a session.
+
+    Children are put in order once a parent; a session's own place tells its siblings' numbers. With a limit only the
+    first children of a parent meet its others, so pairs grow with the rows and not with their square.
+    """
     me = sessions if of is None else sessions.join(of.select("session_id"), "session_id", "left_semi")
-    me = me.filter("parent_session_id IS NOT NULL").select(F.col("session_id").alias("me"), "parent_session_id")
-    pairs = sessions.join(me, "parent_session_id").filter("session_id <> me")
-    return in_order(pairs, "me").filter(F.col("nth") <= limit).select(F.col("me").alias("session_id"), F.col("session_id").alias("sibling_id"), "nth", "total")
+    ordered = durable(in_order(sessions.filter("parent_session_id IS NOT NULL"), "parent_session_id").select("session_id", "parent_session_id", "nth", "total"))
+    first = ordered if limit is None else ordered.filter(F.col("nth") <= limit + 1)
+    mine = ordered.join(me.select("session_id"), "session_id", "left_semi").select(F.col("session_id").alias("me"), "parent_session_id", F.col("nth").alias("own"))
+    pairs = mine.join(first, "parent_session_id").filter("session_id <> me")
+    nth = F.col("nth") - F.when(F.col("nth") > F.col("own"), 1).otherwise(0)
+    pairs = pairs.withColumn("n", nth)
+    pairs = pairs if limit is None else pairs.filter(F.col("n") <= limit)
+    return pairs.select(F.col("me").alias("session_id"), F.col("session_id").alias("sibling_id"), F.col("n").alias("nth"), (F.col("total") - 1).alias("total"))
 
 
 def latest_user(corpus: Corpus, look_back: int = 20) -> DataFrame:

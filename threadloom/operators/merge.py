@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import durable
+
 
 def first_identity(rows: DataFrame, order: list[str], key: str = "event_id", identity: tuple[str, ...] = ("actor", "type", "text"), origin: str = "origin_session_id") -> DataFrame:
     """Rows with `kept`: whether each agrees with the first row of its key on its identity and on the first origin.
@@ -30,15 +32,31 @@ def merge_events(rows: DataFrame, order: list[str], key: str = "event_id", origi
     return kept.filter("__last = 1").withColumn(origin, F.col("__origin")).drop("__origin", "__last")
 
 
-def merge_ranked(rows: DataFrame, key: str = "event_id", structure: tuple[str, ...] = ("ts", "actor", "type", "tool_call_event_id")) -> DataFrame:
-    """One row an event where revisions have ranks: authored before inherited, then the newest revision, then the least digest.
+STRUCTURE = ("ts", "actor", "type", "tool_call_event_id")
+
+
+def ranked_identity(rows: DataFrame, key: str = "event_id", structure: tuple[str, ...] = STRUCTURE, origin: str = "origin_session_id") -> DataFrame:
+    """Rows with `kept`: whether each agrees with the first row of its key on its structure and on the first origin.
 
-    rows: key, structure, authored, revision, head_digest, digest. An event whose copies differ in structure is left out.
+    rows: key, structure, origin (null in an inherited copy), accepted (1: stands in the table already), revision,
+    head_digest, digest. First are accepted rows, then the lowest by revision and digests. What was accepted thus
+    stays; a copy of another structure or of another known origin is refused, and so is its place.
     """
-    shapes = rows.groupBy(key).agg(F.countDistinct(F.struct(*[F.coalesce(F.col(c), F.lit("")) for c in structure])).alias("n")).filter("n = 1")
-    authored = F.col("authored") == 1
-    order = W.partitionBy(key).orderBy(F.desc("authored"), F.when(authored, F.col("revision")).desc_nulls_last(), F.when(authored, F.col("head_digest")).desc_nulls_last(), "digest")
-    return rows.join(shapes.select(key), key, "left_semi").withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
+    order = F.struct(F.when(F.col("accepted") == 1, 0).otherwise(1), "revision", "head_digest", "digest")
+    shape = F.struct(*structure)
+    first = rows.groupBy(key).agg(F.min_by(shape, order).alias("__shape"))
+    rows = rows.join(first, key).withColumn("__same", shape.eqNullSafe(F.col("__shape"))).drop("__shape")
+    held = rows.filter("__same").filter(F.col(origin).isNotNull()).groupBy(key).agg(F.min_by(origin, order).alias("__held"))
+    kept = F.col("__same") & (F.col(origin).isNull() | F.col(origin).eqNullSafe(F.col("__held")))
+    return rows.join(held, key, "left").withColumn("kept", kept).drop("__same", "__held")
+
+
+def merge_ranked(rows: DataFrame, key: str = "event_id", structure: tuple[str, ...] = STRUCTURE, origin: str = "origin_session_id") -> DataFrame:
+    """One row an event of those that `ranked_identity` keeps: authored before inherited, then the newest revision, then the least digest."""
+    authored = F.col(origin).isNotNull()
+    order = W.partitionBy(key).orderBy(F.desc(authored), F.when(authored, F.col("revision")).desc_nulls_last(), F.when(authored, F.col("head_digest")).desc_nulls_last(), "digest")
+    kept = ranked_identity(rows, key, structure, origin).filter("kept").drop("kept")
+    return kept.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
 
 
 def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -60,17 +78,24 @@ def advancing(candidates: DataFrame, accepted: DataFrame, key: str = "session_id
 def complete_revisions(segments: DataFrame) -> DataFrame:
     """Segments (session_id, revision, digest, previous) whose chain reaches back to a first one without a gap.
 
-    A round of a recursive query follows each chain by one segment.
+    Pointers to earlier segments double their reach each round, and a segment is complete if what it points to is; so
+    rounds grow with the logarithm of the longest chain. Each round is stored.
     """
-    segments.createOrReplaceTempView("__segments")
-    return segments.sparkSession.sql("""
-        WITH RECURSIVE ok(session_id, revision, digest) MAX RECURSION LEVEL 10000 AS (
-          SELECT session_id, revision, digest FROM __segments WHERE previous IS NULL AND revision = 1
-          UNION ALL
-          SELECT s.session_id, s.revision, s.digest FROM ok JOIN __segments s
-            ON s.session_id = ok.session_id AND s.previous = ok.digest AND s.revision = ok.revision + 1)
-        SELECT DISTINCT session_id, revision, digest FROM ok
-    """)
+    own = ["session_id", "revision", "digest"]
+    rows = segments.select(*own, "previous").distinct()
+    complete = durable(rows.filter("previous IS NULL AND revision = 1").select(*own).distinct())
+    back = rows.filter("previous IS NOT NULL").select(*own, (F.col("revision") - 1).alias("to_revision"), F.col("previous").alias("to_digest"))
+    n = complete.count()
+    while n:
+        reached = complete.select("session_id", F.col("revision").alias("to_revision"), F.col("digest").alias("to_digest"))
+        more = back.join(reached, ["session_id", "to_revision", "to_digest"], "left_semi").select(*own).join(complete, own, "left_anti").distinct()
+        more = durable(more)
+        n = more.count()
+        if n:
+            complete = durable(complete.unionByName(more))
+            far = back.select("session_id", F.col("revision").alias("to_revision"), F.col("digest").alias("to_digest"), F.col("to_revision").alias("r"), F.col("to_digest").alias("d"))
+            back = durable(back.join(far, ["session_id", "to_revision", "to_digest"]).select(*own, F.col("r").alias("to_revision"), F.col("d").alias("to_digest")).distinct())
+    return complete
 
 
 def replace_placements(old: DataFrame, new: DataFrame, key: str = "session_id") -> DataFrame:

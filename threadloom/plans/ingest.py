@@ -80,15 +80,29 @@ query("merge_first_wins", CLAIMS + "SELECT event_id, lang AS actor, n_chars, hel
     lambda s, d: merge.merge_events(claims(s, d), ["doc_id"]).select("event_id", "actor", "n_chars", "origin_session_id")
 )
 query("merge_conflicts", CLAIMS + "SELECT event_id, count(*) AS conflicts FROM k WHERE NOT kept GROUP BY event_id")(lambda s, d: merge.first_identity(claims(s, d), ["doc_id"]).filter("NOT kept").groupBy("event_id").agg(F.count("*").alias("conflicts")))
+RANKED = """WITH r AS (SELECT l_partkey AS event_id, CASE WHEN l_orderkey % 11 = 0 THEN 'u' ELSE 't' END AS ts, CASE WHEN l_orderkey % 2 = 1 THEN 's' || l_suppkey % 3 END AS o, (l_linenumber = 1 AND l_orderkey % 5 = 0)::INTEGER AS accepted,
+  l_linenumber AS revision, md5(l_orderkey || '-' || l_suppkey) AS h, md5(l_orderkey || '/' || l_linenumber) AS digest FROM lineitem),
+ f AS (SELECT event_id, arg_min(ts, (1 - accepted, revision, h, digest)) AS first_ts FROM r GROUP BY ALL), a AS (SELECT *, ts = first_ts AS same FROM r JOIN f USING (event_id)),
+ g AS (SELECT event_id, arg_min(o, (1 - accepted, revision, h, digest)) AS held FROM a WHERE same AND o IS NOT NULL GROUP BY ALL),
+ k AS (SELECT *, same AND (o IS NULL OR o = held) AS kept FROM a LEFT JOIN g USING (event_id))
+"""
+
+
+def copies(s: SparkSession, d: str) -> DataFrame:
+    """Line items as copies of events: some accepted before, some of another time, authored by one of three or inherited."""
+    return table(s, d, "lineitem").selectExpr(
+        "l_partkey AS event_id", "CASE WHEN l_orderkey % 11 = 0 THEN 'u' ELSE 't' END AS ts", "'a' AS actor", "'m' AS type", "cast(NULL AS string) AS tool_call_event_id", "CASE WHEN l_orderkey % 2 = 1 THEN 's' || l_suppkey % 3 END AS origin_session_id",
+        "cast(l_linenumber = 1 AND l_orderkey % 5 = 0 AS int) AS accepted", "l_linenumber AS revision", "md5(l_orderkey || '-' || l_suppkey) AS head_digest", "md5(l_orderkey || '/' || l_linenumber) AS digest",
+    )
+
+
 query(
     "merge_authored_over_inherited",
-    """WITH r AS (SELECT l_partkey AS event_id, l_orderkey % 2 AS authored, l_linenumber AS revision, md5(l_orderkey || '-' || l_suppkey) AS head_digest, md5(l_orderkey || '/' || l_linenumber) AS digest FROM lineitem)
-    SELECT event_id, authored, digest FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY authored DESC, CASE authored WHEN 1 THEN revision END DESC NULLS LAST, CASE authored WHEN 1 THEN head_digest END DESC NULLS LAST, digest) AS n FROM r) WHERE n = 1""",
-)(
-    lambda s, d: merge.merge_ranked(
-        table(s, d, "lineitem").select(F.col("l_partkey").alias("event_id"), F.lit("t").alias("ts"), F.lit("a").alias("actor"), F.lit("m").alias("type"), F.lit(None).cast("string").alias("tool_call_event_id"), (F.col("l_orderkey") % 2).alias("authored"), F.col("l_linenumber").alias("revision"), F.expr("md5(l_orderkey || '-' || l_suppkey)").alias("head_digest"), F.expr("md5(l_orderkey || '/' || l_linenumber)").alias("digest"))
-    ).select("event_id", "authored", "digest")
-)
+    RANKED
+    + """SELECT event_id, ts, o AS origin_session_id, digest FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY (o IS NOT NULL) DESC, CASE WHEN o IS NOT NULL THEN revision END DESC NULLS LAST,
+      CASE WHEN o IS NOT NULL THEN h END DESC NULLS LAST, digest) AS n FROM k WHERE kept) WHERE n = 1""",
+)(lambda s, d: merge.merge_ranked(copies(s, d)).select("event_id", "ts", "origin_session_id", "digest"))
+query("merge_refused", RANKED + "SELECT event_id, count(*) AS refused FROM k WHERE NOT kept GROUP BY ALL")(lambda s, d: merge.ranked_identity(copies(s, d)).filter("NOT kept").groupBy("event_id").agg(F.count("*").alias("refused")))
 HEADS = "SELECT o_custkey AS session_id, year(o_orderdate) AS revision, sha256(o_orderkey::VARCHAR) AS digest FROM orders"
 
 
@@ -110,17 +124,17 @@ query(
         table(s, d, "lineitem").filter("l_linenumber % 5 <> 4").selectExpr("l_orderkey AS session_id", "l_linenumber AS revision", "'d' || l_linenumber AS digest", "CASE WHEN l_linenumber > 1 THEN 'd' || (l_linenumber - 1) END AS previous").distinct()
     ).groupBy("session_id").agg(F.max("revision").alias("revision"))
 )
-PLACED = BRIDGE + ", o AS (SELECT session_id, event_id, seq, live FROM ev WHERE conv_id % 2 = 0), n AS (SELECT session_id, event_id, seq, CASE WHEN conv_id % 4 = 0 THEN 1 ELSE live END AS live FROM ev WHERE conv_id % 2 = 0 AND seq <> 1) "
+PLACED = BRIDGE + ", o AS (SELECT session_id, event_id, seq, live FROM ev), n AS (SELECT session_id, event_id, seq, CASE WHEN conv_id % 4 = 0 THEN 1 ELSE live END AS live FROM ev WHERE conv_id % 2 = 0 AND seq <> 1) "
 
 
 def placed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    old = corpus(s, d).placements.filter(F.substring("session_id", 6, 20).cast("bigint") % 2 == 0)
-    new = old.filter("seq <> 1").withColumn("live", F.when(F.substring("session_id", 6, 20).cast("bigint") % 4 == 0, 1).otherwise(F.col("live")))
+    old, number = corpus(s, d).placements, F.substring("session_id", 6, 20).cast("bigint")
+    new = old.filter((number % 2 == 0) & (F.col("seq") != 1)).withColumn("live", F.when(number % 4 == 0, 1).otherwise(F.col("live")))
     return old, new
 
 
 query("placement_diff", PLACED + "SELECT coalesce(o.session_id, n.session_id) AS session_id, coalesce(o.event_id, n.event_id) AS event_id, CASE WHEN n.event_id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM o FULL JOIN n ON o.event_id = n.event_id WHERE n.event_id IS NULL OR o.live <> n.live")(
-    lambda s, d: merge.placement_changes(placed(s, d)[0].join(placed(s, d)[1].select("session_id").distinct(), "session_id", "left_semi"), placed(s, d)[1])
+    lambda s, d: merge.placement_changes(*placed(s, d))
 )
 SQL["placement_diff"] = SQL["placement_diff"].replace("WHERE n.event_id IS NULL OR", "WHERE coalesce(o.session_id, n.session_id) IN (SELECT session_id FROM n) AND (n.event_id IS NULL OR").rstrip() + ")"
 query("placement_replace", PLACED + "SELECT session_id, event_id, seq, live FROM n UNION ALL SELECT session_id, event_id, seq, live FROM o WHERE session_id NOT IN (SELECT session_id FROM n)")(lambda s, d: merge.replace_placements(*placed(s, d)).select("session_id", "event_id", "seq", "live"))

@@ -115,8 +115,8 @@ def one_kind(c: Corpus, kind: str) -> DataFrame:
 
 query("refs_files", "SELECT session_id, value, count(*) AS n_events, min(seq) AS first_seq FROM (SELECT session_id, seq, unnest(files) AS value FROM ev WHERE live = 1) GROUP BY ALL")(lambda c: one_kind(c, "file"))
 query("refs_commands", "SELECT session_id, value, count(*) AS n_events, min(seq) AS first_seq FROM (SELECT session_id, seq, unnest(commands) AS value FROM ev WHERE live = 1) GROUP BY ALL")(lambda c: one_kind(c, "command"))
-query("refs_commits", """SELECT session_id, lower(v) AS value, count(*) AS n_events, min(seq) AS first_seq FROM (SELECT session_id, seq, substr(unnest(commands), 10) AS v FROM ev WHERE live = 1)
-   WHERE regexp_matches(v, '[a-fA-F]') GROUP BY ALL""")(lambda c: one_kind(Corpus(c.sessions, c.events.withColumn("text", F.lit("")), c.placements, c.origins), "commit"))
+query("refs_commits", """, w AS (SELECT session_id, seq, event_id, unnest(regexp_split_to_array(coalesce(text, '') || chr(10) || array_to_string(commands, chr(10)), '[^0-9A-Za-z]+')) AS v FROM ev WHERE live = 1)
+   SELECT session_id, value, count(*) AS n_events, min(seq) AS first_seq FROM (SELECT DISTINCT session_id, seq, event_id, lower(v) AS value FROM w WHERE regexp_full_match(v, '[0-9a-fA-F]{7,40}') AND regexp_matches(v, '[a-fA-F]')) GROUP BY ALL""")(lambda c: one_kind(c, "commit"))
 TOUCH = ["ts", "source", "session_id", "seq", "event_id", "cwd", "file", "live"]
 
 
@@ -143,7 +143,8 @@ query("lineage_siblings", """, g AS (SELECT session_id, 'g' || conv_id // 4 AS p
    FROM g a JOIN g b ON a.parent_session_id = b.parent_session_id AND a.session_id <> b.session_id""")(
     lambda c: lineage.siblings(c.sessions.withColumn("parent_session_id", F.concat(F.lit("g"), F.floor(F.substring("session_id", 6, 20).cast("bigint") / 4).cast("string")))).select("session_id", "sibling_id", F.col("nth").cast("long"), "total")
 )
-query("lineage_cycle_guard", None)(lambda c: lineage.ancestors(c.sessions.withColumn("parent_session_id", F.concat(F.lit("conv:"), ((F.substring("session_id", 6, 20).cast("bigint") + 1) % 4).cast("string")))))
+query("lineage_cycle_guard", """SELECT 'conv:' || n AS session_id, 'conv:' || (n + d) % 4 AS ancestor_id, d::BIGINT AS depth, (n + d) % 4 NOT IN (SELECT conv_id FROM conversations) AS missing
+   FROM (SELECT DISTINCT conv_id AS n FROM conversations), (VALUES (1), (2), (3), (4)) x(d) WHERE d < 4 OR n >= 4""")(lambda c: lineage.ancestors(c.sessions.withColumn("parent_session_id", F.concat(F.lit("conv:"), ((F.substring("session_id", 6, 20).cast("bigint") + 1) % 4).cast("string")))).select("session_id", "ancestor_id", F.col("depth").cast("long"), "missing"))
 query(
     "lineage_summary",
     """, u AS (SELECT session_id, seq, ts FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, seq DESC) AS r FROM ev WHERE live = 1 AND actor = 'user') WHERE r <= 20 AND NOT starts_with(ltrim(text), '<command-name>'))

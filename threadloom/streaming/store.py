@@ -155,21 +155,23 @@ class Store:
         _, events, _ = logs.tables(parsed)
         sessions, _, placements = logs.canonical(parsed)
         ranked = events.join(found.select(F.col("session_id").alias("path"), "revision", F.col("digest").alias("head_digest")), "path")
-        ranked = ranked.withColumn("authored", F.col("origin_session_id").isNotNull().cast("int")).withColumn("digest", F.sha2("raw", 256)).drop("path")
+        ranked = ranked.withColumn("digest", F.sha2("raw", 256)).withColumn("accepted", F.lit(0)).withColumnRenamed("path", "__session")
         of_events, of_sessions = self.touched(events, "events"), self.touched(sessions, "sessions")
         old = self.table("events", of_events)
-        mine = old.filter("event_id LIKE 'cursor:%'").withColumn("authored", F.col("origin_session_id").isNotNull().cast("int")).withColumn("digest", F.sha2("raw", 256)).withColumn("revision", F.lit(0).cast("bigint")).withColumn("head_digest", F.lit(""))
-        merged = merge.merge_ranked(mine.unionByName(ranked)).select(*schema.EVENTS.names)
+        mine = old.filter("event_id LIKE 'cursor:%'").withColumn("digest", F.sha2("raw", 256)).withColumn("accepted", F.lit(1)).withColumn("revision", F.lit(0).cast("bigint")).withColumn("head_digest", F.lit("")).withColumn("__session", F.lit(None).cast("string"))
+        claims = durable(mine.unionByName(ranked))
+        merged = merge.merge_ranked(claims).select(*schema.EVENTS.names)
+        refused = durable(merge.ranked_identity(claims).filter("NOT kept").select(F.col("__session").alias("session_id"), "event_id").distinct())
         state = found.selectExpr("digest AS path", "revision AS mtime", "0L AS size", "'cursor' AS source", "session_id")
         ids = sessions.select("session_id")
         if ids.limit(1).count():
             self.publish({
                 "sessions": (self.table("sessions", of_sessions).join(ids, "session_id", "left_anti").unionByName(sessions.select(*schema.SESSIONS.names)), of_sessions),
                 "events": (old.filter("NOT event_id LIKE 'cursor:%'").unionByName(merged), of_events),
-                "placements": (merge.replace_placements(self.table("placements", of_sessions), placements.select(*schema.PLACEMENTS.names)), of_sessions),
+                "placements": (merge.replace_placements(self.table("placements", of_sessions), placements.join(refused, ["session_id", "event_id"], "left_anti").select(*schema.PLACEMENTS.names)), of_sessions),
                 "state": self.table("state").join(state.select("session_id", "source"), ["session_id", "source"], "left_anti").unionByName(state).select("path", "mtime", "size", "source", "session_id"),
             })
-        return {"heads": found.count(), "sessions": ids.count()}
+        return {"heads": found.count(), "sessions": ids.count(), "refused": refused.count()}
 
     def build_index(self) -> None:
         """Writes the inverted index of all events' texts, postings in buckets by term."""

@@ -1,4 +1,10 @@
-from threadloom.llm.html import blocks, extract, main_text
+import os
+import re
+import time
+
+import pytest
+
+from threadloom.llm.html import Rules, blocks, extract, main_text
 
 PROSE = "It was the best of the times and it was in the end the worst of them all, so they said to us and to you. "
 PAGE = f"""<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
@@ -40,3 +46,49 @@ def test_parts_of_an_article_that_are_none():
 def test_article_by_name_alone():
     page = f"""<body><div id="header">Site of it</div><div class="wrap"><div class="post-content"><h2>Head</h2><p>Short one</p><p>{PROSE}</p></div><div class="box">Some words of the site</div></div></body>"""
     assert main_text(page) == f"Head Short one {PROSE.strip()}"
+
+
+PAGES = "/root/testdata/sf0.01/pages.parquet"
+
+
+def without_names(html):
+    """The page without any element or name that tells of its parts."""
+    return re.sub(r' (class|id|role)="[^"]*"', "", re.sub(r"<(/?)(article|nav|footer|header|aside|main|section)\b", r"<\1div", html))
+
+
+@pytest.mark.skipif(not os.path.exists(PAGES), reason="no test tables")
+def test_rules_find_the_text_without_names():
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table(PAGES).column("html").to_pylist()
+    named, bare = [main_text(p) for p in pages], [main_text(without_names(p)) for p in pages]
+    assert sum(a == b for a, b in zip(named, bare)) >= 0.95 * len(pages)
+    for rules in (Rules(links=9), Rules(short=0, long=0)):
+        assert sum(a == main_text(without_names(p), rules) for a, p in zip(named, pages)) < sum(a == b for a, b in zip(named, bare))
+
+
+def test_open_blocks_take_the_label_of_the_nearest():
+    menu = "<div><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></div>"
+    page = f"<body>{menu}<div>Buy it now</div><div><h2>Head</h2><p>Short one.</p><p>{PROSE * 3}</p><p>Last words</p></div><div>&copy; us and all of the others</div></body>"
+    assert main_text(page) == f"Head Short one. {(PROSE * 3).strip()} Last words"
+
+
+def test_stop_words_length_and_links_decide():
+    words = " ".join(f"Item{i}" for i in range(60))
+    page = f"<body><div><p>{words}</p></div><div><p>{PROSE * 3}</p><p>{words}</p></div></body>"
+    text = (PROSE * 3).strip()
+    assert main_text(page) == f"{text} {words}" and main_text(page, Rules(stops=0, few_stops=0)) == f"{words} {text} {words}"
+    linked = f"<body><div><p><a href=1>{PROSE}</a> and {PROSE}</p></div><div><p>{PROSE * 3}</p></div></body>"
+    assert main_text(linked) == text and main_text(linked, Rules(links=0.9)).count("best") == 5
+    two = f"<body><div><p>{PROSE}</p></div><div><a href=1>Menu</a></div><div><p>{PROSE * 3}</p></div></body>"
+    assert main_text(two, Rules(long=500)) != main_text(two, Rules(long=50))
+
+
+def test_markup_of_any_kind_takes_time_in_proportion():
+    for part in ("<a x='y' z ", "<div>", '<a "', "<li>", "<table><tr><td>", "<p>a", "<div>a", "</b><div>", "<a href='"):
+        started = time.time()
+        assert main_text(part * 40_000) is not None
+        assert time.time() - started < 8
+    started = time.time()
+    assert main_text("<div>" * 20_000 + "</b>" * 20_000) == ""
+    assert time.time() - started < 5

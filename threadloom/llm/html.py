@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -41,10 +42,16 @@ ARTICLE_WORDS = frozenset("article articlebody entry post story content maincont
 # Elements that end where another of their kind begins.
 SUCCESSIVE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)", re.S)
 NAMES = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 WORD_PARTS = re.compile(r"[a-z]+")
 EDGES = re.compile(r"^\W+|\W+$")
+# Signs with which lines about rights begin.
+RIGHTS = re.compile(r"\W{0,2}(?:[©®]|\(c\)|copyright\b|all rights reserved\b)", re.I)
+
+
+#: Elements by which it is told how near two blocks are, from the outermost.
+DEEPEST = 64
 
 
 @dataclass
@@ -68,6 +75,7 @@ class Block:
     heading: bool = False
     item: bool = False
     named: bool = False
+    within: tuple[int, ...] = ()  # the elements that it lies in, from the outermost
     label: str = field(default="")
 
 
@@ -102,6 +110,9 @@ def blocks(html: str) -> list[Block]:
     # name; 1 within a form, 2 in another part that isn't the article; in an article; in what is called one
     opened: list[tuple[str, int, bool, bool]] = []
     apart, inside, named, linked, anchors = 0, False, False, 0, 0
+    within: list[int] = []
+    open_names: Counter = Counter()
+    made = 0
     tag, own = "", False  # the block's element, and whether it is itself no part of the article
 
     def close() -> None:
@@ -109,7 +120,7 @@ def blocks(html: str) -> list[Block]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, min(linked, len(text)), apart > 0 or own, inside, tag in HEADINGS, tag == "li", named))
+                out.append(Block(text, min(linked, len(text)), apart > 0 or own, inside, tag in HEADINGS, tag == "li", named, tuple(within[:DEEPEST])))
         parts.clear()
         linked = 0
 
@@ -122,7 +133,8 @@ def blocks(html: str) -> list[Block]:
     def leave(i: int) -> None:
         nonlocal apart, inside, named
         close()
-        del opened[i:]
+        open_names.subtract(o[0] for o in opened[i:])
+        del opened[i:], within[i:]
         apart, inside, named = opened[-1][1:] if opened else (0, False, False)
 
     at, size = 0, len(html)
@@ -149,9 +161,8 @@ def blocks(html: str) -> list[Block]:
         if name in EMPTY or name == "p":
             continue
         if ends:
-            last = next((i for i in range(len(opened) - 1, -1, -1) if opened[i][0] == name), None)
-            if last is not None:
-                leave(last)
+            if open_names[name] > 0:
+                leave(next(i for i in range(len(opened) - 1, -1, -1) if opened[i][0] == name))
             continue
         kinds = SUCCESSIVE.get(name, ())
         last = next((i for i in range(len(opened) - 1, -1, -1) if opened[i][0] not in SUCCESSIVE or opened[i][0] in kinds), None)
@@ -162,12 +173,18 @@ def blocks(html: str) -> list[Block]:
             continue
         close()
         if name in ("body", "main") or name == "article" and apart < 2:
-            opened[:] = [o for o in opened if o[0] != "head"]
+            while open_names["head"] > 0:
+                at_head = next(i for i, o in enumerate(opened) if o[0] == "head")
+                open_names["head"] -= 1
+                del opened[at_head], within[at_head]
             apart, inside = 0, bool(opened) and opened[-1][2]
         inside = inside or name in NOT_CHROME and not chrome
         named = named or not chrome and name in ("div", "section", "td") and names_article(m[3])
         apart = max(apart, (1 if name == "form" else 2) if chrome else 0)
         opened.append((name, apart, inside, named))
+        open_names[name] += 1
+        made += 1
+        within.append(made)
     close()
     return out
 
@@ -177,65 +194,105 @@ def stop_density(text: str) -> float:
     return sum(w in STOPS or EDGES.sub("", w) in STOPS for w in words) / max(1, len(words))
 
 
-def first_pass(block: Block, rules: Rules) -> str:
-    """good, bad, or what the second pass decides: near (good if a good one is near) and short."""
-    if block.chrome:
+def first_pass(block: Block, rules: Rules, article: bool) -> str:
+    """good, bad, or open: near (a text like any), short, and sparse (longer, with few stop words).
+
+    article: whether the markup names one in this page; then what lies outside of it is no part of it.
+    """
+    if block.chrome or article and not block.inside:
         return "bad"
     if block.linked > (rules.links if not block.inside else rules.item_links if block.item else 1) * len(block.text):
         return "bad"
+    if not block.inside and RIGHTS.match(block.text):
+        return "bad"
     if len(block.text) < rules.short:
         return "short"
     density = stop_density(block.text)
-    if density >= rules.stops or block.inside and density >= rules.few_stops:
-        return "good" if block.inside or len(block.text) > rules.long else "near"
-    if density >= rules.few_stops or block.inside:
-        return "near"
-    return "bad"
+    if density >= rules.few_stops and (len(block.text) > rules.long or block.inside and density >= rules.stops):
+        return "good"
+    return "near" if density >= rules.few_stops or block.inside else "sparse"
+
+
+def common(a: Block, b: Block) -> int:
+    """How many elements two blocks both lie in, from the outermost."""
+    return next((i for i, (x, y) in enumerate(zip(a.within, b.within, strict=False)) if x != y), min(len(a.within), len(b.within)))
+
+
+def nearest(i: int, found: list[Block], before: int, after: int) -> int:
+    """The nearest of two decided neighbours: the one that shares more elements, else by blocks between, else the one before; -1 if there is none."""
+    if before < 0 or after < 0:
+        return max(before, after)
+    shares = common(found[i], found[before]), common(found[i], found[after])
+    if shares[0] != shares[1]:
+        return before if shares[0] > shares[1] else after
+    return before if i - before <= after - i else after
+
+
+def neighbours(found: list[Block]) -> tuple[list[int], list[int]]:
+    """Of each block the decided one before it and the one after it, -1 if there is none."""
+    out: tuple[list[int], list[int]] = ([-1] * len(found), [-1] * len(found))
+    for places, side in ((range(len(found)), out[0]), (range(len(found) - 1, -1, -1), out[1])):
+        last = -1
+        for i in places:
+            side[i] = last
+            last = i if found[i].label in ("good", "bad") else last
+    return out
+
+
+OPEN = ("near", "short", "sparse")
+
+
+def seed(found: list[Block]) -> None:
+    """Where no block is good by itself, the longest open one of the element that holds most of what is open counts as good."""
+    size: Counter = Counter()
+    for b in found:
+        if b.label in OPEN:
+            size[b.within] += len(b.text)
+    if size:
+        most = max(size.values())
+        place = next(b.within for b in found if size[b.within] == most)
+        max((b for b in found if b.within == place and b.label in OPEN), key=lambda b: len(b.text)).label = "good"
 
 
 def classify(found: list[Block], rules: Rules) -> list[Block]:
     """The article's blocks.
 
-    First pass: link density, length and density of stop words decide a block by itself. Second pass: blocks left
-    open take the label of the nearest decided neighbours, headings that of the one after them. A short block between a good and a bad one is decided by
-    its part of the page: with the good one if both lie in the same. A block within an article element that nothing
-    speaks against is kept.
+    First pass: markup, link density, length and density of stop words decide a block by itself; if that leaves none
+    that is good, the element with the most open text has it. Second pass: first
+    headings that are open take the label of the next decided block, then open blocks that of the nearest decided
+    neighbour, where blocks of the same element are nearer than all others. Within what the markup names an article
+    an open block is dropped only if it is partly linked and stands among dropped ones.
     """
     if not any(b.inside and not b.chrome for b in found):
         for b in found:
             b.inside = b.named
-    has_article = any(b.inside and not b.chrome for b in found)
-    for b in found:
-        b.label = first_pass(b, rules)
-        if has_article and not b.inside:
-            b.label = "bad"
-    decided = ("good", "bad")
-    before: list[Block | None] = []
-    last = None
+    article = any(b.inside and not b.chrome for b in found)
     for b in found:
-        before.append(last)
-        last = b if b.label in decided else last
-    after: list[Block | None] = []
-    last = None
-    for b in reversed(found):
-        after.append(last)
-        last = b if b.label in decided else last
-    labels = []
-    for b, p, n in zip(found, before, reversed(after), strict=True):
-        if b.label in decided:
-            labels.append(b.label)
-            continue
-        near = [x for x in (p, n) if x is not None and x.inside == b.inside and not x.chrome]
-        goods = sum(x.label == "good" for x in near)
-        if b.inside:
-            labels.append("bad" if near and not goods and b.linked else "good")
-        elif b.heading:
-            labels.append(n.label if n is not None else "bad")
-        elif b.label == "near":
-            labels.append("good" if goods or not near else "bad")
-        else:
-            labels.append("good" if goods and goods == len([x for x in (p, n) if x is not None and not x.chrome]) else "bad")
-    return [b for b, label in zip(found, labels, strict=True) if label == "good"]
+        b.label = first_pass(b, rules, article)
+    if not any(b.label == "good" for b in found):
+        seed(found)
+    for headings in (True, False):
+        before, after = neighbours(found)
+        labels = []
+        for i, b in enumerate(found):
+            if b.label in ("good", "bad") or headings and not b.heading:
+                labels.append(b.label)
+            elif b.inside:
+                beside = [found[k] for k in (before[i], after[i]) if k >= 0 and found[k].inside and not found[k].chrome]
+                labels.append("bad" if b.linked and beside and all(x.label == "bad" for x in beside) else "good")
+            elif headings:
+                # A heading stands over what follows it, if that lies in the same elements or further in.
+                k = after[i]
+                labels.append(found[k].label if k >= 0 and common(b, found[k]) >= len(b.within) - 1 else b.label)
+            else:
+                k = nearest(i, found, before[i], after[i])
+                good = b.label == "near" if k < 0 else found[k].label == "good"
+                # Few stop words are no prose, but may stand in the midst of it.
+                apart = b.label == "sparse" and (k < 0 or common(b, found[k]) < len(b.within))
+                labels.append("good" if good and not apart else "bad")
+        for b, label in zip(found, labels, strict=True):
+            b.label = label
+    return [b for b in found if b.label == "good"]
 
 
 def main_text(html: str | None, rules: Rules | None = None) -> str:

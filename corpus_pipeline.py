@@ -12,12 +12,12 @@ from threadloom.llm.queries import PIECES
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality scores keep: those likely of low quality or toxic go."""
+    """Documents that the quality scores keep: those likely of low quality or toxic go; null texts count as empty."""
     return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: five words, a similarity of 0.8 or more."""
     return simhash.deduplicated(docs)
 
 
@@ -27,7 +27,7 @@ def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them; a null source is one like others, texts without words go."""
     return mixing.mixed(docs)
 
 
@@ -43,7 +43,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to `documents`. Each but the last is written to the shared folder and read again."""
+    """The stages applied to `documents`. Each but the last is written to the shared folder and read again.
+
+    What a stage was given is deleted once its own rows are written; the last written table stays for the result.
+    """
     prepare(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/corpus-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -52,4 +55,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                dropped(spark, f"{folder}/{k - 1}")
     return docs
+
+
+def dropped(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ def local_session(cores: str | int = "*", memory: str = "8g") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -26,9 +28,22 @@ def local_session(cores: str | int = "*", memory: str = "8g") -> SparkSession:
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The same rows, written to the checkpoint folder: the cluster's, or one of this machine's where none is set."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables that are read again: the one of the cluster's spark.checkpoint.dir.
+
+    Where none is set a local session takes one of this machine's; on a cluster that would be lost with an executor or
+    not be found by others, so there it is an error.
+    """
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="threadloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="threadloom-"))
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The same rows, written once to the shared folder: later readers survive lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

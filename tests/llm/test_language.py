@@ -12,7 +12,7 @@ def corpus(n, seed):
 
 def test_held_out_accuracy():
     learned = corpus(40, 1)
-    network = language.fitted([language.spread_windows(t) for _, t in learned], [lang for lang, _ in learned])
+    network = language.fitted([language.all_windows(t) for _, t in learned], [lang for lang, _ in learned])
     held = corpus(20, 2)
     got = network.predict([t.upper() for _, t in held])
     assert sum(p == lang for (p, _), (lang, _) in zip(got, held, strict=True)) >= 0.95 * len(held)

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from threadloom.llm import simhash
@@ -101,3 +102,52 @@ def test_groups_that_share_an_id_keep_one_row_each(spark):
     rows = [(None, t) for t in texts for _ in range(2)] + [(4, "one id of a first text"), (4, "but also of some second one"), (4, "one id of a first text"), (5, "one id of a first text")]
     kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.text for r in kept.collect()) == sorted({t for _, t in rows})
+
+
+def jaccard(a, b, n=5):
+    sets = [{tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in (t.lower().split() for t in (a, b))]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_documents_that_go_are_like_one_that_stays(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    rows = []
+    for group in range(12):
+        words = list(rng.choice(vocabulary, int(rng.integers(40, 300))))
+        for copy in range(int(rng.integers(1, 9))):
+            # Each copy differs from the one before it, so the last ones are further from the first.
+            for at in rng.integers(0, len(words), copy % 3):
+                words[at] = str(rng.choice(vocabulary))
+            rows.append((int(rng.integers(0, 10**6)), " ".join(words) if copy % 4 else " ".join(words).upper(), group))
+    rows += [(i, t, -1) for i, t in ((1, ""), (2, None), (3, " "), (4, "one"), (5, "one"), (6, "two"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, t int").withColumnRenamed("t", "group")
+    kept = simhash.deduplicated(docs).collect()
+    group = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, 2).collect()}
+    texts = {r.doc_id: r.text or "" for r in kept}
+    for i, t, _ in rows:
+        alike = [k for k, x in texts.items() if group[k] == group[i] and jaccard(t or "", x) >= 0.8]
+        assert alike and (i in texts or min(alike) <= i)
+    assert all(jaccard(texts[a], texts[b]) < 0.8 for a in texts for b in texts if a < b and group[a] == group[b])
+    assert len(kept) < len(rows) - 15 and {1, 4, 6} <= texts.keys() and not {2, 3, 5} & texts.keys()
+
+
+def test_repeated_ids_in_any_partitions(spark):
+    a, b = "the first of these two texts tells of the sea", "but another one that is longer speaks of mountains and of snow"
+    rows = [(3, b, "x"), (5, a, "y"), (5, b, "z"), (5, a, "y")]
+    for n in (1, 2, 3, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, root string").repartition(n)
+        assert sorted(map(tuple, simhash.deduplicated(docs).collect())) == [(3, b, "x"), (5, a, "y")]
+
+
+def test_fingerprint_against_its_statement():
+    rng = np.random.default_rng(9)
+    for n in (0, 1, 2, 3, 4, 50, 700):
+        words = [str(w) for w in rng.choice(["Aé", "b", "cC", "ddd", "ß"], n)]
+        text = " \t".join(words)
+        low = [bytes(c + 32 if 65 <= c <= 90 else c for c in w.encode()) for w in words]
+        shingles = [b" ".join(low[i : i + 3]) for i in range(len(low) - 2)] or ([b" ".join(low)] if low else [])
+        found = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+        want = sum(1 << bit for bit in range(64) if sum(h >> bit & 1 for h in found) * 2 > len(found))
+        assert simhash.fingerprint(text.encode()) % 2**64 == want
+        assert simhash.shingle_set(text.encode(), 3).tolist() == sorted({h - 2**64 if h >= 2**63 else h for h in found})

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import join_small, stored
 
 #: Rows of a block, about; queries that meet a block in one task, about.
 BLOCK_ROWS, QUERY_ROWS = 8192, 4096
@@ -88,8 +88,8 @@ def block_scores(rows: DataFrame, visits: DataFrame, blocks: int, k: int) -> Dat
     score_type = "bigint" if kind == "bigint" else "double"
     if chunks.max(initial=1) > 1:
         shared = spark.createDataFrame([(int(b), int(c)) for b, c in enumerate(chunks)], "block bigint, chunks int")
-        rows = rows.join(F.broadcast(shared), "block").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
-        visits = visits.join(F.broadcast(shared), "block").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int")).drop("chunks")
+        rows = join_small(rows, shared, ["block"], "inner", blocks).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+        visits = join_small(visits, shared, ["block"], "inner", blocks).withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int")).drop("chunks")
     else:
         rows, visits = rows.withColumn("chunk", F.lit(0)), visits.withColumn("chunk", F.lit(0))
 
@@ -165,9 +165,4 @@ def per_batch(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInArrow(each, schema)
 
 
-def lists(x: np.ndarray) -> pa.Array:
-    """A matrix as a column of lists."""
-    return pa.ListArray.from_arrays(np.arange(0, x.size + 1, max(1, x.shape[1]), dtype=np.int32)[: len(x) + 1], pa.array(np.ascontiguousarray(x).reshape(-1)))
-
-
-__all__ = ["Cut", "augmented", "best", "block_scores", "first_copies", "histogram", "lists", "matrix", "per_batch", "sample", "stored", "usable"]
+__all__ = ["Cut", "augmented", "best", "block_scores", "first_copies", "histogram", "matrix", "per_batch", "sample", "stored", "usable"]

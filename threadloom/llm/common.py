@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import durable, shared_folder
+
 #: Rows of a side that may be broadcast; beyond it the join is salted.
 BROADCAST_ROWS = 50_000
 SALTS = 16
@@ -16,20 +17,18 @@ ARROW_ROWS, ARROW_BYTES = 400, 64 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Takes the cluster's checkpoint folder, or sets one where none is set; keeps Arrow batches of texts small."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="threadloom-"))
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != ARROW_ROWS:
+    """Makes sure of a shared folder; keeps Arrow batches of texts small, for all of the session, unless they are smaller."""
+    shared_folder(spark)
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The same rows, written once to the shared checkpoint folder: later readers survive lost executors."""
+    """The same rows, written once to the shared folder: later readers survive lost executors."""
     prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return durable(df)
 
 
 def same(left: Column, right: Column) -> Column:
@@ -52,7 +51,9 @@ def join_small(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "
     if (small.limit(BROADCAST_ROWS + 1).count() if rows is None else rows) <= BROADCAST_ROWS:
         return big.join(F.broadcast(few), match, how).drop(*names.values())
     few = few.withColumn("__salt_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    many = big.withColumn("__salt_b", (F.rand(7) * SALTS).cast("int"))
+    # By the row itself: a task that runs again must deal its rows as before.
+    plain = [f.name for f in big.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    many = big.withColumn("__salt_b", F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int"))
     return many.join(few, match & (F.col("__salt_b") == F.col("__salt_s")), how).drop(*names.values(), "__salt_b", "__salt_s")
 
 

@@ -19,8 +19,8 @@ WIDTHS = (2, 3, 4)
 FILTERS = 8
 #: Windows that the network takes at a time.
 AT_ONCE = 64
-#: Labelled documents of each language, and windows of each of them, that the network is trained on at most (as expected).
-FIT_DOCS, FIT_WINDOWS = 800, 6
+#: Labelled documents of each language that the network is trained on (as expected), and bytes of whole texts at most.
+FIT_DOCS, FIT_BYTES = 800, 3 << 20
 EPOCHS, STEPS, STEP = 12, 300, 0.01
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -150,12 +150,9 @@ class Network:
         return out
 
 
-def spread_windows(text: str | None, most: int = FIT_WINDOWS) -> np.ndarray:
-    """Windows evenly over a text; none if it has no letter."""
-    if not has_letter(text):
-        return np.zeros((0, WINDOW), np.uint8)
-    w = windows(text)
-    return w[np.unique(np.linspace(0, len(w) - 1, most).astype(int))]
+def all_windows(text: str | None) -> np.ndarray:
+    """Windows of a text end to end; none if it has no letter."""
+    return windows(text) if has_letter(text) else np.zeros((0, WINDOW), np.uint8)
 
 
 def fitted(rows: list[np.ndarray], languages: list[str]) -> Network:
@@ -169,8 +166,9 @@ def fitted(rows: list[np.ndarray], languages: list[str]) -> Network:
 def learn(labelled: DataFrame, docs_each: int = FIT_DOCS) -> Network:
     """A network from `labelled` (doc_id, text, lang), null languages left out.
 
-    Of each language so many documents are expected to be taken, by a hash of their id, or all if it has fewer. A few
-    windows of each come to the driver, not its text.
+    Of each language so many documents are expected to be drawn, by a hash of their id, or all if it has fewer. Of
+    these, in the order of the hash, whole documents are taken until one would pass FIT_BYTES; longer ones are passed
+    over. All windows of these come to the driver.
     """
     known = labelled.filter("lang IS NOT NULL").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -181,10 +179,19 @@ def learn(labelled: DataFrame, docs_each: int = FIT_DOCS) -> Network:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.string()), pa.array([spread_windows(t).tobytes() for t in b.column(2).to_pylist()], pa.binary())], ["lang", "id", "w"])
+            for lang, i, t in zip(b.column(0), b.column(1), b.column(2), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()], pa.string()), pa.array([i.as_py()], pa.string()), pa.array([all_windows(t.as_py()).tobytes()], pa.binary())], ["lang", "id", "w"])
 
     prepare(labelled.sparkSession)
-    texts = known.filter(chosen).select("lang", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "text")
+    drawn = known.filter(chosen).select("lang", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), draw.alias("draw"), F.octet_length(F.coalesce("text", F.lit(""))).alias("size"), F.xxhash64("text").alias("t"), "text")
+    room, taken = {lang: FIT_BYTES for lang in counts}, []
+    for r in sorted(drawn.select("lang", "draw", "id", "t", "size").collect(), key=tuple):
+        if r["size"] <= room[r["lang"]]:
+            room[r["lang"]] -= r["size"]
+            taken.append((r["lang"], r["id"], r["t"]))
+    spark = labelled.sparkSession
+    own = spark.createDataFrame(sorted(set(taken), key=str), "lang string, id string, t long")
+    texts = drawn.join(F.broadcast(own), ["lang", "id", "t"], "left_semi").select("lang", "id", "text")
     got = sorted((r["lang"], r["id"], bytes(r["w"])) for r in texts.mapInArrow(run, "lang string, id string, w binary").toLocalIterator())
     order = np.random.default_rng(7).permutation(len(got))
     return fitted([np.frombuffer(got[i][2], np.uint8).reshape(-1, WINDOW) for i in order], [got[i][0] for i in order])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,6 +21,8 @@ WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 # Kinds of pieces and of models in the model file.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
+#: Threads of a worker. Cores are shared by an executor's tasks, so a few do.
+THREADS = 2
 #: Encoded words that a worker keeps; new words that are encoded as one text.
 KEPT_WORDS, WORDS_AT_ONCE = 200_000, 500
 
@@ -42,8 +45,8 @@ class Codec:
 
     The normaliser, the marker of spaces, scores (unigram) or merges in the order of scores (BPE) and byte fallback
     come from the model's protobuf. Texts are cut before each run of markers where no piece spans such a cut, so
-    words are encoded once; each distinct word is encoded by both libraries, and where they differ, the reference's
-    ids count and the word is reported.
+    words are encoded once, many at a time on THREADS threads. The ids are the rebuilt model's; each distinct word is
+    also encoded by the reference, and those on which the two differ are counted.
     """
 
     def __init__(self, path: str) -> None:
@@ -82,29 +85,28 @@ class Codec:
     def _learn(self, new: list[str]) -> None:
         """Encodes words by both libraries, many as one text where that gives each word's ids, else one by one."""
         ids, sizes, odd, changed = [self.ids], [], [], []
-        plain = [not w.startswith(SPACE) for w in new]
-        for at in range(0, len(new), WORDS_AT_ONCE):
-            words = new[at : at + WORDS_AT_ONCE]
-            if all(plain[at : at + WORDS_AT_ONCE]):
-                text = " ".join(words)
-                (one,) = self.tokenizer.encode_batch_fast([SPACE + text.replace(" ", SPACE)], add_special_tokens=False)
-                got = np.array(one.ids, np.int32)
-                first = np.nonzero(self.starts[got])[0]
-                if len(first) == len(words) and self.reference.encode(text, num_threads=1) == one.ids and self.decode([one.ids]) == [text]:
-                    ids.append(got)
-                    sizes.append(np.diff(np.append(first, len(got))))
-                    odd.append(np.zeros(len(words), bool))
-                    changed.append(np.zeros(len(words), bool))
-                    continue
+        groups = [new[at : at + WORDS_AT_ONCE] for at in range(0, len(new), WORDS_AT_ONCE)]
+        texts = [" ".join(g) for g in groups]
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast([SPACE + t.replace(" ", SPACE) for t in texts], add_special_tokens=False)]
+        theirs, back = self.reference.encode(texts, num_threads=THREADS), self.decode(coded)
+        for words, text, one, other, again in zip(groups, texts, coded, theirs, back, strict=True):
+            got = np.array(one, np.int32)
+            first = np.nonzero(self.starts[got])[0]
+            if len(first) == len(words) and one == other and again == text and not any(w.startswith(SPACE) for w in words):
+                ids.append(got)
+                sizes.append(np.diff(np.append(first, len(got))))
+                odd.append(np.zeros(len(words), bool))
+                changed.append(np.zeros(len(words), bool))
+                continue
             marked = [w if w.startswith(SPACE) else SPACE + w for w in words]
             ours = [e.ids for e in self.tokenizer.encode_batch_fast(marked, add_special_tokens=False)]
-            theirs = self.reference.encode([w[1:] for w in marked], num_threads=1)
+            right = self.reference.encode([w[1:] for w in marked], num_threads=THREADS)
             # A single marker, at a text's end, is no text of its own to the reference: there it is this one piece.
-            theirs = [x if w != SPACE else [self.reference.piece_to_id(SPACE)] for w, x in zip(marked, theirs, strict=True)]
-            ids += [np.array(x, np.int32) for x in theirs]
-            sizes.append(np.array([len(x) for x in theirs], np.int64))
-            odd.append(np.array([x != y for x, y in zip(ours, theirs, strict=True)], bool))
-            changed.append(np.array([x != y[1:].replace(SPACE, " ") for x, y in zip(self.decode(theirs), marked, strict=True)], bool))
+            right = [x if w != SPACE else [self.reference.piece_to_id(SPACE)] for w, x in zip(marked, right, strict=True)]
+            ids += [np.array(x, np.int32) for x in ours]
+            sizes.append(np.array([len(x) for x in ours], np.int64))
+            odd.append(np.array([x != y for x, y in zip(ours, right, strict=True)], bool))
+            changed.append(np.array([x != y[1:].replace(SPACE, " ") for x, y in zip(self.decode(ours), marked, strict=True)], bool))
         self.ids = np.concatenate(ids)
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))])
         self.odd, self.changed = np.concatenate([self.odd, *odd]), np.concatenate([self.changed, *changed])
@@ -113,10 +115,10 @@ class Codec:
         """Ids of all texts in a row, each text's end, how many of its words are encoded differently, whether it decodes."""
         if not self.by_word:
             ours = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            theirs = self.reference.encode(texts, num_threads=1)
-            back = self.decode(theirs)
-            ends = np.cumsum([len(x) for x in theirs], dtype=np.int64)
-            return np.array([i for x in theirs for i in x], np.int32), ends, np.array([x != y for x, y in zip(ours, theirs, strict=True)], np.int64), np.array([x == y for x, y in zip(texts, back, strict=True)], bool)
+            theirs = self.reference.encode(texts, num_threads=THREADS)
+            back = self.decode(ours)
+            ends = np.cumsum([len(x) for x in ours], dtype=np.int64)
+            return np.array([i for x in ours for i in x], np.int32), ends, np.array([x != y for x, y in zip(ours, theirs, strict=True)], np.int64), np.array([x == y for x, y in zip(texts, back, strict=True)], bool)
         if len(self.words) > KEPT_WORDS:
             self._forget()
         look = self.words.__getitem__
@@ -173,14 +175,16 @@ def rebuilt(proto) -> Tokenizer:
 
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
+    os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
+    os.environ["TOKENIZERS_PARALLELISM"] = "true"
     return Codec(path)
 
 
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """(doc_id, ids, n_tokens, n_odd, round_trip) of every row of `docs` (doc_id, text).
 
-    ids: those of the SentencePiece model in the file `model`, which lies at that path on every executor; whole
-    texts are encoded. n_odd: the text's words on which the two libraries differ (their ids are the reference's).
+    ids: those of the model rebuilt from the file `model`, which lies at that path on every executor; whole
+    texts are encoded. n_odd: the text's words on which the rebuilt model and the reference library differ.
     round_trip: the ids decode to the text. A null text has null ids and tokens and a null round_trip, an empty one
     none and a true one. Repeated rows stay, an empty table gives an empty result; other columns are not read.
     """

@@ -90,6 +90,9 @@ def top_products(vectors: DataFrame, asks: Column, value: Column, k: int = 20, k
     while True:
         visits = stored(blocks.per_batch(asked, ring_visits(basis, annuli, seen, width), "block bigint, query_id bigint, qv array<bigint>, lo bigint, hi bigint, least bigint"))
         seen, width = seen + width, width * FACTOR
+        if found is not None and not visits.limit(1).count():
+            # Bounds don't fall along a query's order, so the rounds after one without visits have none either.
+            break
         got = blocks.block_scores(placed.drop("d"), visits, cut.blocks, k)
         found = stored(blocks.best(got if found is None else found.drop("rank").unionByName(got), k))
         if seen >= cut.blocks:

@@ -192,7 +192,7 @@ class Sites:
     """A fitted classifier and what is known of hosts and of paths below them."""
 
     model: object  # broadcast Classifier
-    evidence: DataFrame  # (doc_id, host, path, e) of every document, stored
+    evidence: DataFrame  # (doc_id, t, host, path, e, labels) of every document, stored; t tells texts of one id apart
     paths: DataFrame
     hosts: DataFrame
     priors: dict[str, tuple[float, float, float]]  # head: rate, strength of the prior of hosts, and of paths
@@ -202,13 +202,10 @@ def sites(docs: DataFrame, labels: DataFrame, host: str, path: str, rows: int) -
     """Sums over each path and host: every document by the classifier, those with a label corrected to it."""
     spark = prepare(docs.sparkSession)
     model = spark.sparkContext.broadcast(classifier(docs, labels, rows))
-    evidence = stored(docs.select("doc_id", F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), logits(model)("text").alias("e")))
-    plain = [expected(model.value, i).alias(f"p_{h}") for i, h in enumerate(HEADS)]
-    rates = evidence.select("doc_id", "host", "path", *plain)
-    own = rates.join(one_label(labels), "doc_id").groupBy("host", "path").agg(*[F.sum(F.coalesce(F.col(h) - F.col(f"p_{h}"), F.lit(0.0))).alias(f"path_{h}") for h in HEADS])
-    every = rates.groupBy("host", "path").agg(F.count("*").alias("n_path"), *[F.sum(f"p_{h}").alias(f"path_{h}") for h in HEADS])
-    both = every.unionByName(own.withColumn("n_path", F.lit(0).cast("bigint")))
-    paths = stored(both.groupBy("host", "path").agg(F.sum("n_path").alias("n_path"), *[F.greatest(F.lit(0.0), F.least(F.sum(f"path_{h}"), F.sum("n_path").cast("double"))).alias(f"path_{h}") for h in HEADS]))
+    evidence = stored(docs.select("doc_id", F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), F.xxhash64(F.col("text").cast("string")).alias("t"), logits(model)("text").alias("e")))
+    evidence = stored(evidence.join(one_label(labels), "doc_id", "left"))
+    rates = [F.sum(own_rate(model.value, i)).alias(f"path_{h}") for i, h in enumerate(HEADS)]
+    paths = stored(evidence.groupBy("host", "path").agg(F.count("*").alias("n_path"), *rates))
     hosts = stored(paths.groupBy("host").agg(F.sum("n_path").alias("n_host"), *[F.sum(f"path_{h}").alias(f"host_{h}") for h in HEADS]))
     priors = {}
     for h in HEADS:
@@ -233,12 +230,17 @@ def expected(model: Classifier, head: int) -> Column:
     return 1 / (1 + F.exp(-(F.col("e")[head] + F.lit(float(np.log(rate / (1 - rate)))))))
 
 
+def own_rate(model: Classifier, head: int) -> Column:
+    """What a row adds to its site: its label, or its chance by the text where it has none."""
+    return F.coalesce(F.col(HEADS[head]), expected(model, head))
+
+
 def judged(rows: DataFrame, known: Sites) -> DataFrame:
-    """Rows of (e, host, path) with quality_score, toxic_score and keep."""
+    """Rows of (e, host, path, labels) with quality_score, toxic_score and keep; a row's own part of its site doesn't count for it."""
     out = join_small(join_small(rows, known.paths, ["host", "path"]), known.hosts, ["host"])
     for i, h in enumerate(HEADS):
         rate, of_hosts, of_paths = known.priors[h]
-        own = expected(known.model.value, i)
+        own = own_rate(known.model.value, i)
         at_host = (F.greatest(F.lit(0.0), F.col(f"host_{h}") - own) + F.lit(of_hosts * rate)) / (F.col("n_host") - 1 + F.lit(of_hosts))
         at_path = (F.greatest(F.lit(0.0), F.col(f"path_{h}") - own) + F.lit(of_paths) * at_host) / (F.col("n_path") - 1 + F.lit(of_paths))
         site = F.least(F.greatest(at_path, F.lit(1e-4)), F.lit(1 - 1e-4))
@@ -251,8 +253,8 @@ def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
 
     A text classifier gives each document's evidence. All documents of a host and of a path below it give these
     sites' rates: by the classifier, corrected by labels where there are any. A path's rate is shrunk toward its
-    host's, and that toward the overall one, the more the fewer documents there are; a document's own text does not
-    count for its site. The scores join the site's rate and the text's evidence, in log-odds. keep: quality is
+    host's, and that toward the overall one, the more the fewer documents there are; a document's own text and
+    label don't count for its site. The scores join the site's rate and the text's evidence, in log-odds. keep: quality is
     likely and toxicity isn't.
 
     Null texts count as empty; null hosts and paths are sites like others; null ids have no label. Repeated rows
@@ -263,7 +265,13 @@ def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
 
 
 def accepted(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", rows: int = FIT_ROWS) -> DataFrame:
-    """The rows that the scores keep, with their columns. Texts don't move: sites come to them."""
+    """The rows that the scores keep, with their columns. Each text is scored once; what is rejected is left out by id and text."""
     known = sites(docs, labels, host, path, rows)
-    packed = docs.select(F.struct(*docs.columns).alias("__row"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), logits(known.model)("text").alias("e"))
-    return judged(packed, known).filter("keep").select("__row.*")
+    ids = ["doc_id", "t", "host", "path"]
+    rejected = judged(known.evidence, known).filter("NOT keep").select(*[F.col(c).alias(f"__{c}") for c in ids]).distinct()
+    packed = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", F.xxhash64(F.col("text").cast("string")).alias("t"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"))
+    same_row = F.lit(True)
+    for c in ids:
+        same_row = same_row & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    # Rejected rows grow with the input, so they are never broadcast.
+    return packed.join(rejected.hint("merge"), same_row, "left_anti").select("__row.*")

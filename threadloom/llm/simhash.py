@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import components, join_small, prepare, stored
@@ -20,6 +21,8 @@ GOLAY = 0xC75
 SEGMENT, CHECKS = 23, 11
 #: Bytes of a text whose words are counted at a time.
 TEXT_AT_ONCE = 1 << 18
+#: Texts of a group that are held against its head in one task, about.
+GROUP_PART = 256
 BLANK = re.compile(rb"[ \t-\r]")
 
 
@@ -79,7 +82,7 @@ def fingerprint(text: bytes | None, words: int = 3) -> int:
 
     def count(shingles: list[bytes]) -> None:
         nonlocal n, total
-        h = np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles], dtype="<u8")
+        h = hashes(shingles)
         total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         n += len(shingles)
 
@@ -93,17 +96,19 @@ def fingerprint(text: bytes | None, words: int = 3) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the 64-bit fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, words: int = 3, more: Sequence[Column] = ()) -> DataFrame:
+    """(doc_id, fp) of every row, then the long columns `more`; fp is the 64-bit fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t.as_py(), words) for t in texts], pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t.as_py(), words) for t in texts], pa.int64()), *b.columns[2:]], ["doc_id", "fp", *names])
 
     prepare(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    rows = docs.select("doc_id", F.col("text").cast("string"), *more)
+    names = rows.columns[2:]
+    return rows.mapInArrow(run, ", ".join([f"doc_id {kind}, fp bigint", *[f"{n} bigint" for n in names]]))
 
 
 def link_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,19 +181,106 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return classed(docs, words).drop("root")
 
 
-def deduplicated(docs: DataFrame, words: int = 3) -> DataFrame:
-    """The documents of which each group keeps one: the row with the component's smallest id (of repeated ids, one).
+def shingle_set(text: bytes | None, words: int) -> np.ndarray:
+    """Hashes of a text's distinct shingles of so many words, as `fingerprint` has them."""
+    tail, found = [], [np.zeros(0, np.int64)]
+    some = False
+    for w in word_slices(text or b""):
+        w = tail + w
+        if len(w) >= words:
+            found.append(np.unique(hashes(map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)))))
+            some = True
+        tail = w[len(w) - words + 1 :] if len(w) >= words else w
+    if not some and tail:
+        found.append(hashes([b" ".join(tail)]))
+    return np.unique(np.concatenate(found))
+
+
+def hashes(shingles) -> np.ndarray:  # noqa: ANN001
+    return np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles], dtype="<u8").view("<i8")
+
+
+TEXT = ["t1", "t2"]
 
-    Groups whose ids are all null keep one row each, and so do groups that share their smallest id. Columns stay as they are.
+
+def text_hashes(text: str) -> list:
+    """Two hashes that tell texts apart."""
+    t = F.col(text).cast("string")
+    return [F.xxhash64(t).alias("t1"), F.xxhash64(F.lit(1), t, F.length(t)).alias("t2")]
+
+
+def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, print_words: int = 2) -> DataFrame:
+    """The documents without those that have a near-duplicate among the kept ones. Columns stay as they are.
+
+    Texts are grouped by linked fingerprints of `print_words` words (3 bits). In each group the text with the smallest
+    id stays, and all go whose Jaccard similarity to it, over sets of shingles of `words` words, is at least
+    `similarity`; what is left of the group is gone through again, until nothing is. So each document that goes has a
+    kept one that is like it; chains of links don't suffice. Of equal texts the row with the smallest id stays.
+
+    Null ids come after all others, and of rows with one id and text one stays. Null, empty and blank texts have no
+    shingle and are alike. An empty table gives an empty result. A column named t1 or t2 is none of the operator's.
     """
-    found = stored(classed(docs, words))
-    groups = found.groupBy("root", "component_id").agg(F.count("*").alias("n"))
-    kept = docs.join(groups.select(F.col("component_id").alias("__component")), F.col("doc_id").eqNullSafe(F.col("__component")), "left_semi")
-    repeated = found.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    if not repeated:
-        return kept
-    # Only where ids repeat, a row's own fingerprint has to tell which of the groups it stands for.
-    of_text = F.pandas_udf(lambda texts: texts.map(lambda t: fingerprint(t.encode() if t else None, words)), "bigint")
-    least = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("fp").alias("__of"), F.col("root").alias("__root")).distinct()
-    own = kept.withColumn("__fp", of_text(F.col("text").cast("string"))).join(least, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__of")))
-    return own.dropDuplicates(["__root"]).select(*docs.columns)
+    prints = stored(fingerprints(docs, print_words, text_hashes("text")))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id")
+    texts = stored(prints.groupBy(*TEXT, "fp").agg(F.min(order).alias("least")))
+    distinct = stored(texts.select("fp").distinct())
+    roots = distinct.join(components(fingerprint_links(distinct)).withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    # A fingerprint may be that of many texts: the join's sides are stored, so that Spark can split it there.
+    grouped = stored(texts.join(stored(roots), "fp").select(*TEXT, "root", "least"))
+    sizes = stored(grouped.groupBy("root").agg(F.count("*").alias("size")).filter("size > 1"))
+    open_ = stored(with_sets(docs, stored(grouped.join(sizes, "root")), words))
+    alone = grouped.join(sizes.select("root"), "root", "left_anti").select(*TEXT, "least")
+    kept = [alone]
+    while True:
+        heads = open_.groupBy("root").agg(F.min_by(F.struct(*TEXT, "least", "s"), F.struct("least", *TEXT)).alias("head"))
+        heads = stored(heads.select("root", "head"))
+        if not heads.limit(1).count():
+            break
+        kept.append(heads.select("head.t1", "head.t2", "head.least"))
+        # A group of many texts meets its head in parts.
+        parts = F.ceil(F.col("size") / GROUP_PART).cast("int")
+        dealt = heads.join(sizes, "root").select("root", "head", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        mine = open_.withColumn("part", F.pmod("t1", parts))
+        shared = F.size(F.array_intersect("s", "head.s"))
+        whole = F.size("s") + F.size("head.s") - shared
+        met = mine.join(dealt, ["root", "part"]).filter((whole > 0) & (shared < F.lit(similarity) * whole))
+        open_ = stored(met.select(*open_.columns))
+    stays = kept[0]
+    for more in kept[1:]:
+        stays = stays.unionByName(more)
+    ids = ["doc_id", *TEXT]
+    stays = stays.select(F.col("least.doc_id").alias("doc_id"), *TEXT)
+    goes = stored(prints.select(*ids).join(stays, matches(prints, stays, ids), "left_anti").distinct())
+    marked = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", *text_hashes("text"))
+    # What goes grows with the input, so it is never broadcast.
+    left = marked.join(goes.hint("merge"), matches(marked, goes, ids), "left_anti")
+    if prints.groupBy(*ids).count().filter("count > 1").limit(1).count():
+        own = W.partitionBy(*ids).orderBy(F.to_json("__row"))
+        left = left.withColumn("__n", F.row_number().over(own)).filter("__n = 1")
+    return left.select("__row.*")
+
+
+def matches(a: DataFrame, b: DataFrame, columns: list[str]):  # noqa: ANN201
+    """Equality of columns in which nulls are equal."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & a[c].eqNullSafe(b[c])
+    return out
+
+
+def with_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """classes (t1, t2, root, least, size) with `s`: the hashes of the shingles of each class's text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.as_py(), words) for t in b.column(2).cast(pa.binary())]
+            ends = np.append(0, np.cumsum([len(x) for x in sets], dtype=np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], ["t1", "t2", "s"])
+
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), *text_hashes("text"))
+    wanted = classes.select(F.col("least.doc_id").alias("doc_id"), *TEXT)
+    # One row for each class: its text's row with the smallest id, of repeated rows any, as their texts are equal.
+    own = rows.join(wanted.hint("merge"), matches(rows, wanted, ["doc_id", *TEXT]), "left_semi").select(*TEXT, "text")
+    sets = own.mapInArrow(run, "t1 bigint, t2 bigint, s array<bigint>").dropDuplicates(TEXT)
+    return classes.join(sets, TEXT)

@@ -243,8 +243,9 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, print
         mine = open_.withColumn("part", F.pmod("t1", parts))
         shared = F.size(F.array_intersect("s", "head.s"))
         whole = F.size("s") + F.size("head.s") - shared
-        met = mine.join(dealt, ["root", "part"]).filter((whole > 0) & (shared < F.lit(similarity) * whole))
-        open_ = stored(met.select(*open_.columns))
+        met = mine.join(dealt, ["root", "part"]).filter((whole == 0) | (shared >= F.lit(similarity) * whole))
+        # Left out rather than joined on: the size that Spark expects of the rows then doesn't grow with the rounds.
+        open_ = stored(open_.join(met.select(*TEXT), TEXT, "left_anti"))
     stays = kept[0]
     for more in kept[1:]:
         stays = stays.unionByName(more)

@@ -21,6 +21,8 @@ GOLAY = 0xC75
 SEGMENT, CHECKS = 23, 11
 #: Bytes of a text whose words are counted at a time.
 TEXT_AT_ONCE = 1 << 18
+#: Times that the groups' texts are held against the first of them.
+STARS = 2
 #: Texts of a group that are held against its head in one task, about.
 GROUP_PART = 256
 BLANK = re.compile(rb"[ \t-\r]")
@@ -214,8 +216,9 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, print
 
     Texts are grouped by linked fingerprints of `print_words` words (3 bits). In each group the text with the smallest
     id stays, and all go whose Jaccard similarity to it, over sets of shingles of `words` words, is at least
-    `similarity`; what is left of the group is gone through again, until nothing is. So each document that goes has a
-    kept one that is like it; chains of links don't suffice. Of equal texts the row with the smallest id stays.
+    `similarity`; what is left of the group is gone through so STARS times. Of what is then left, links are verified one
+    by one, and of each component of verified links the text with the smallest id stays. So nothing goes without a
+    verified link, and the number of passes doesn't grow with the input. Of equal texts the row with the smallest id stays.
 
     Null ids come after all others, and of rows with one id and text one stays. Null, empty and blank texts have no
     shingle and are alike. An empty table gives an empty result. A column named t1 or t2 is none of the operator's.
@@ -224,28 +227,24 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, print
     order = F.struct(F.col("doc_id").isNull(), "doc_id")
     texts = stored(prints.groupBy(*TEXT, "fp").agg(F.min(order).alias("least")))
     distinct = stored(texts.select("fp").distinct())
-    roots = distinct.join(components(fingerprint_links(distinct)).withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    links = stored(fingerprint_links(distinct))
+    roots = distinct.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
     # A fingerprint may be that of many texts: the join's sides are stored, so that Spark can split it there.
-    grouped = stored(texts.join(stored(roots), "fp").select(*TEXT, "root", "least"))
+    grouped = stored(texts.join(stored(roots), "fp").select(*TEXT, "fp", "root", "least"))
     sizes = stored(grouped.groupBy("root").agg(F.count("*").alias("size")).filter("size > 1"))
     open_ = stored(with_sets(docs, stored(grouped.join(sizes, "root")), words))
     alone = grouped.join(sizes.select("root"), "root", "left_anti").select(*TEXT, "least")
     kept = [alone]
-    while True:
-        heads = open_.groupBy("root").agg(F.min_by(F.struct(*TEXT, "least", "s"), F.struct("least", *TEXT)).alias("head"))
-        heads = stored(heads.select("root", "head"))
-        if not heads.limit(1).count():
-            break
+    for _ in range(STARS):
+        heads = stored(open_.groupBy("root").agg(F.min_by(F.struct(*TEXT, "least", "s"), F.struct("least", *TEXT)).alias("head")))
         kept.append(heads.select("head.t1", "head.t2", "head.least"))
         # A group of many texts meets its head in parts.
         parts = F.ceil(F.col("size") / GROUP_PART).cast("int")
         dealt = heads.join(sizes, "root").select("root", "head", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-        mine = open_.withColumn("part", F.pmod("t1", parts))
-        shared = F.size(F.array_intersect("s", "head.s"))
-        whole = F.size("s") + F.size("head.s") - shared
-        met = mine.join(dealt, ["root", "part"]).filter((whole == 0) | (shared >= F.lit(similarity) * whole))
+        met = open_.withColumn("part", F.pmod("t1", parts)).join(dealt, ["root", "part"]).filter(alike("s", "head.s", similarity))
         # Left out rather than joined on: the size that Spark expects of the rows then doesn't grow with the rounds.
         open_ = stored(open_.join(met.select(*TEXT), TEXT, "left_anti"))
+    kept.append(least_of_linked(open_, links, similarity))
     stays = kept[0]
     for more in kept[1:]:
         stays = stays.unionByName(more)
@@ -261,6 +260,29 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, print
     return left.select("__row.*")
 
 
+def alike(a: str, b: str, similarity: float) -> Column:
+    """Whether two sets' Jaccard similarity is at least so much; two empty sets are alike."""
+    shared = F.size(F.array_intersect(a, b))
+    whole = F.size(a) + F.size(b) - shared
+    return (whole == 0) | (shared >= F.lit(similarity) * whole)
+
+
+def least_of_linked(texts: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """(t1, t2, least) of the first text of each component of verified links among `texts` (t1, t2, fp, least, s).
+
+    Texts are linked whose fingerprints are, or which share one with the first text of that fingerprint.
+    """
+    own = texts.select(F.struct("least", *TEXT).alias("node"), "fp", "s")
+    first = own.groupBy("fp").agg(F.min("node").alias("first"))
+    x, y = own.select(F.col("node").alias("a"), "fp", F.col("s").alias("sa")), own.select(F.col("node").alias("b"), F.col("fp").alias("other"), F.col("s").alias("sb"))
+    across = x.join(links.select(F.col("a").alias("fp"), F.col("b").alias("other")), "fp").select("a", "sa", "other").join(y, "other")
+    within = x.join(first, "fp").filter("a <> first").join(y, F.col("b") == F.col("first"))
+    pairs = across.select("a", "sa", "b", "sb").unionByName(within.select("a", "sa", "b", "sb")).filter(alike("sa", "sb", similarity)).select("a", "b")
+    found = components(pairs)
+    gone = found.filter("node <> root").select("node")
+    return own.select("node").join(gone, "node", "left_anti").select("node.t1", "node.t2", "node.least")
+
+
 def matches(a: DataFrame, b: DataFrame, columns: list[str]):  # noqa: ANN201
     """Equality of columns in which nulls are equal."""
     out = F.lit(True)
@@ -270,7 +292,7 @@ def matches(a: DataFrame, b: DataFrame, columns: list[str]):  # noqa: ANN201
 
 
 def with_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
-    """classes (t1, t2, root, least, size) with `s`: the hashes of the shingles of each class's text."""
+    """classes (t1, t2, fp, root, least, size) with `s`: the hashes of the shingles of each class's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

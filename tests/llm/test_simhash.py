@@ -151,3 +151,90 @@ def test_fingerprint_against_its_statement():
         want = sum(1 << bit for bit in range(64) if sum(h >> bit & 1 for h in found) * 2 > len(found))
         assert simhash.fingerprint(text.encode()) % 2**64 == want
         assert simhash.shingle_set(text.encode(), 3).tolist() == sorted({h - 2**64 if h >= 2**63 else h for h in found})
+
+
+def test_links_grow_with_the_texts_not_with_their_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    base, rows = [f"w{i}" for i in range(900)], []
+    for i in range(160):
+        words = list(base)
+        words[int(rng.integers(0, 900))] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    fps = np.array(sorted({simhash.fingerprint(t.encode(), 2) for _, t in rows}), dtype=np.int64).view(np.uint64)
+    pairs = int((np.bitwise_count(fps[:, None] ^ fps) <= 3).sum()) - len(fps)
+    assert pairs > 20 * len(fps)
+    made, components = [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda links, *ends: made.append(links.count()) or components(links, *ends))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.doc_id for r in simhash.deduplicated(docs).collect()] == [0]
+    assert {r.component_id for r in simhash.near_duplicates(docs, 2).collect()} == {0}
+    assert made and max(made) <= len(fps)
+
+
+def crowded(seed, n=300):
+    """Distinct fingerprints in some dense groups, of which some are near to each other, sorted."""
+    rng = np.random.default_rng(seed)
+    centre = rng.integers(-(1 << 63), 1 << 63, 4, dtype=np.int64)
+    centre = np.append(centre, centre ^ np.int64(0b111111))
+    flips = [sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 6)), replace=False)) for _ in range(n)]
+    return np.unique(rng.choice(centre, n) ^ np.array(flips, dtype=np.uint64).view(np.int64))
+
+
+def test_components_of_fingerprints_by_any_way(spark, monkeypatch):
+    x = crowded(13)
+    want = {int(x[i]): int(x[r]) for i, r in enumerate(classes(x))}
+    docs = spark.createDataFrame([(v,) for v in x.tolist()], "fp long").repartition(3)
+    for crowd in (4096, 2):
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        got = {r.node: r.root for r in simhash.fingerprint_components(docs).collect()}
+        assert {k: got.get(k, k) for k in want} == want and set(want.values()) != set(want)
+        assert all(k != r or k in set(got.values()) for k, r in got.items())
+
+
+def test_forest_and_balls_join_what_pairs_join(spark):
+    import pyarrow as pa
+
+    x = crowded(14)
+    want = classes(x)
+    for links in (simhash.forest(pa.table({"key": [7] * len(x), "fp": x, "root": x})).to_pylist(), [r.asDict() for r in simhash.ball_links(spark.createDataFrame([(v, v) for v in x.tolist()], "fp long, root long")).collect()]):
+        at = {int(v): i for i, v in enumerate(x)}
+        root = list(range(len(x)))
+        for _ in range(len(x)):
+            for r in links:
+                a, b = at[r["a"]], at[r["b"]]
+                root[a] = root[b] = min(root[a], root[b])
+        assert root == want
+    assert simhash.forest(pa.table({"key": [1, 2], "fp": x[:2], "root": x[:2]})).num_rows == 0
+    assert len(simhash.forest(pa.table({"key": [7] * len(x), "fp": x, "root": x})).to_pylist()) == len(x) - len(set(want))
+
+
+def test_left_texts_against_all_their_pairs(spark):
+    rng = np.random.default_rng(15)
+    rows, common = [], list(range(10**6, 10**6 + 25))
+    for cluster in range(12):
+        fp = int(x) if (x := rng.integers(0, 4)) else 0
+        base = rng.integers(0, 10**5, 60)
+        for _ in range(6):
+            s = base.copy()
+            s[rng.choice(60, int(rng.integers(0, 12)), replace=False)] = rng.integers(0, 10**5)
+            rows.append((len(rows), 0, fp ^ (int(rng.integers(0, 2)) * 56), cluster % 2, sorted({*s.tolist(), *common})))
+    rows += [(len(rows) + i, 0, 9, 5, []) for i in range(3)]
+    order = rng.permutation(len(rows)).tolist()
+    texts = [(*r[:4], (None if k % 7 == 0 else k,), r[4]) for k, r in zip(order, rows, strict=True)]
+    key = [(r[4][0] is None, r[4][0] or 0, r[0]) for r in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(texts):
+        for j, y in enumerate(texts[:i]):
+            a, b = set(x[5]), set(y[5])
+            if x[3] == y[3] and (x[2] ^ y[2]).bit_count() <= 3 and (not a | b or len(a & b) >= 0.8 * len(a | b)):
+                p, q = sorted((find(i), find(j)), key=lambda k: key[k])
+                root[q] = p
+    df = spark.createDataFrame([(*t[:4], (t[4][0] is None, t[4][0]), t[5]) for t in texts], "t1 long, t2 long, fp long, root long, least struct<n:boolean,doc_id:long>, s array<long>")
+    got = sorted(r.t1 for r in simhash.least_of_linked(df, 0.8).collect())
+    assert got == sorted(texts[i][0] for i in range(len(texts)) if find(i) == i) and 12 < len(got) < len(texts) - 10

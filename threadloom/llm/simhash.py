@@ -25,6 +25,10 @@ TEXT_AT_ONCE = 1 << 18
 STARS = 2
 #: Texts of a group that are held against its head in one task, about.
 GROUP_PART = 256
+#: Fingerprints that share a key and are compared pair by pair; more are linked by the words around them.
+CROWD = 4096
+#: Rows of buckets that are compared in one task, about.
+BUCKET_ROWS = 100_000
 BLANK = re.compile(rb"[ \t-\r]")
 
 
@@ -138,11 +142,69 @@ def link_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def fingerprint_links(distinct: DataFrame) -> DataFrame:
-    """(a, b) with a < b: all pairs of the distinct fingerprints `fp` that differ in 1 to 3 bits, each once.
+def forest(table: pa.Table) -> pa.Table:
+    """(a, b): links that join the same roots as all pairs of at most 3 differing bits in each bucket of (key, fp, root).
 
-    Candidates come from a join on keys, which Spark can split where a key is hot, and are verified within it. A
-    pair is made for its first common block only.
+    At most one link less than there are roots, however many pairs are that near.
+    """
+    key, fp, root = (table.column(c).to_numpy() for c in ("key", "fp", "root"))
+    order = np.argsort(key, kind="stable")
+    key, fp = key[order], fp[order].view(np.uint64)
+    roots, code = np.unique(root[order], return_inverse=True)
+    parent, links = np.arange(len(roots)), []
+
+    def find(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    at, step = np.arange(len(key)), 1
+    while len(at):
+        at = at[at + step < len(key)]
+        at = at[key[at] == key[at + step]]
+        near = at[(code[at] != code[at + step]) & (np.bitwise_count(fp[at] ^ fp[at + step]) <= 3)]
+        for x, y in zip(code[near].tolist(), code[near + step].tolist(), strict=True):
+            x, y = find(x), find(y)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                links.append((min(x, y), max(x, y)))
+        if len(near):
+            while (parent[parent] != parent).any():
+                parent = parent[parent]
+            code = parent[code]
+        step += 1
+    ends = np.array(links, dtype=np.int64).reshape(-1, 2)
+    return pa.table({"a": roots[ends[:, 0]], "b": roots[ends[:, 1]]})
+
+
+def ball_links(crowd: DataFrame) -> DataFrame:
+    """(a, b) of roots: links that join the same roots of `crowd` (fp, root) as all pairs of at most 3 differing bits.
+
+    Two words are that near if and only if a third differs from one in at most 1 bit and from the other in at most
+    2. So all within 2 bits of a word are linked if one is within 1 bit of it: rows grow with the fingerprints alone.
+    """
+    flips = [0, *(1 << i for i in range(64)), *((1 << i) + (1 << j) for i, j in combinations(range(64), 2))]
+
+    def around(masks: list[int]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = np.array(masks, dtype=np.uint64).view(np.int64)
+            for b in batches:
+                fp, root = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+                yield pa.RecordBatch.from_arrays([pa.array((fp[:, None] ^ words).ravel()), pa.array(np.repeat(root, len(words)))], ["word", "root"])
+
+        return crowd.select("fp", "root").mapInArrow(run, "word bigint, root bigint")
+
+    heads = around(flips[:65]).groupBy("word").agg(F.min("root").alias("a"))
+    return around(flips).join(heads, "word").filter("root <> a").select("a", F.col("root").alias("b")).distinct()
+
+
+def fingerprint_components(distinct: DataFrame) -> DataFrame:
+    """(node, root) of each of the distinct fingerprints `fp` that differs from another in at most 3 bits.
+
+    Root is the smallest fingerprint that can be reached. Exact, but the pairs aren't made, as n fingerprints near to
+    each other have n * n of them. First each links to one smallest fingerprint of its buckets that is near. Buckets
+    which then still hold several roots are compared pair by pair within a task, that returns a forest; in those of more
+    than CROWD fingerprints words around them stand for the pairs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,19 +214,35 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
                 rows, keys = link_keys(fps)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[rows])], ["key", "fp"])
 
+    by = W.partitionBy("key")
     keyed = distinct.select("fp").mapInArrow(run, "key bigint, fp bigint")
-    differ = F.expr("x.fp ^ y.fp")
-    table = F.expr("(x.key >> 44) % 4")
-    first = ((table < 1) | (differ.bitwiseAND(F.lit(0xFFFF)) != 0)) & ((table < 2) | (differ.bitwiseAND(F.lit(0xFFFF0000)) != 0)) & ((table < 3) | (differ.bitwiseAND(F.lit(0xFFFF00000000)) != 0))
-    pairs = keyed.alias("x").join(keyed.alias("y"), F.expr("x.key = y.key AND x.fp < y.fp AND bit_count(x.fp ^ y.fp) <= 3") & first)
-    return pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
+    bucket = keyed.select("key", "fp", F.min("fp").over(by).alias("head"), F.max("fp").over(by).alias("last"), F.count("*").over(by).alias("n"))
+    met = stored(bucket.filter("n > 2 OR n = 2 AND bit_count(head ^ last) <= 3").drop("last"))
+    stars = met.filter("fp <> head AND bit_count(fp ^ head) <= 3").groupBy("fp").agg(F.min("head").alias("head"))
+    first = components(stars, "head", "fp")
+    named = met.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root"))
+    mixed = named.select("*", F.min("root").over(by).alias("lo"), F.max("root").over(by).alias("hi")).filter("lo <> hi")
+    open_ = stored(mixed.select("key", "fp", "n", "root"))
+    few = open_.filter(F.col("n") <= CROWD)
+    parts = few.count() // BUCKET_ROWS + 1
+    links = few.select("key", "fp", "root", F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part")).groupBy("part").applyInArrow(forest, "a bigint, b bigint")
+    crowd = open_.filter(F.col("n") > CROWD)
+    if crowd.limit(1).count():
+        links = links.unionByName(ball_links(stored(crowd.select("fp", "root").distinct())))
+    links = stored(links)
+    if not links.limit(1).count():
+        return first
+    second = components(links)
+    alone = second.join(first, "node", "left_anti")
+    moved = join_small(first, second.select(F.col("node").alias("root"), F.col("root").alias("to")), ["root"])
+    return moved.select("node", F.coalesce("to", "root").alias("root")).unionByName(alone.select("node", "root"))
 
 
 def classed(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, fp, component_id, root) of every row; root: the component's smallest fingerprint, which tells components apart."""
     prints = stored(fingerprints(docs, words))
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    linked = stored(distinct.join(components(fingerprint_links(distinct)).withColumnRenamed("node", "fp"), "fp"))
+    linked = stored(distinct.join(fingerprint_components(distinct).withColumnRenamed("node", "fp"), "fp"))
     ids = stored(linked.groupBy("root").agg(F.min("least").alias("component_id")))
     named = join_small(linked, ids, ["root"], "inner").select("fp", "component_id", "root")
     # Stored, so that both sides of the last join come from a shuffle of their own, which Spark can split at a hot key.
@@ -227,8 +305,7 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, print
     order = F.struct(F.col("doc_id").isNull(), "doc_id")
     texts = stored(prints.groupBy(*TEXT, "fp").agg(F.min(order).alias("least")))
     distinct = stored(texts.select("fp").distinct())
-    links = stored(fingerprint_links(distinct))
-    roots = distinct.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    roots = distinct.join(fingerprint_components(distinct).withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
     # A fingerprint may be that of many texts: the join's sides are stored, so that Spark can split it there.
     grouped = stored(texts.join(stored(roots), "fp").select(*TEXT, "fp", "root", "least"))
     sizes = stored(grouped.groupBy("root").agg(F.count("*").alias("size")).filter("size > 1"))
@@ -244,7 +321,7 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, print
         met = open_.withColumn("part", F.pmod("t1", parts)).join(dealt, ["root", "part"]).filter(alike("s", "head.s", similarity))
         # Left out rather than joined on: the size that Spark expects of the rows then doesn't grow with the rounds.
         open_ = stored(open_.join(met.select(*TEXT), TEXT, "left_anti"))
-    kept.append(least_of_linked(open_, links, similarity))
+    kept.append(least_of_linked(open_, similarity))
     stays = kept[0]
     for more in kept[1:]:
         stays = stays.unionByName(more)
@@ -267,18 +344,45 @@ def alike(a: str, b: str, similarity: float) -> Column:
     return (whole == 0) | (shared >= F.lit(similarity) * whole)
 
 
-def least_of_linked(texts: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
-    """(t1, t2, least) of the first text of each component of verified links among `texts` (t1, t2, fp, least, s).
+def least_of_linked(texts: DataFrame, similarity: float) -> DataFrame:
+    """(t1, t2, least) of the first text of each component of verified links among `texts` (t1, t2, fp, root, least, s).
 
-    Texts are linked whose fingerprints are, or which share one with the first text of that fingerprint.
+    Two texts are linked whose fingerprints differ in at most 3 bits and whose sets are alike. Sets that are share one
+    of the rarest shingles of each: of n shingles, rarest in their group first, those that `similarity` lets differ and
+    one more. Each text is first held against one head of such a bucket; then pairs across what that linked are made.
     """
-    own = texts.select(F.struct("least", *TEXT).alias("node"), "fp", "s")
-    first = own.groupBy("fp").agg(F.min("node").alias("first"))
-    x, y = own.select(F.col("node").alias("a"), "fp", F.col("s").alias("sa")), own.select(F.col("node").alias("b"), F.col("fp").alias("other"), F.col("s").alias("sb"))
-    across = x.join(links.select(F.col("a").alias("fp"), F.col("b").alias("other")), "fp").select("a", "sa", "other").join(y, "other")
-    within = x.join(first, "fp").filter("a <> first").join(y, F.col("b") == F.col("first"))
-    pairs = across.select("a", "sa", "b", "sb").unionByName(within.select("a", "sa", "b", "sb")).filter(alike("sa", "sb", similarity)).select("a", "b")
-    found = components(pairs)
+    own = stored(texts.select(F.struct("least", *TEXT).alias("node"), "root", "fp", "s"))
+    size, by = F.size("s"), W.partitionBy("root", "h")
+    # Empty sets are alike, so they share a shingle of their own; 1e-9 more, as the product is rounded.
+    rarest = size - F.ceil(size * F.lit(similarity) - 1e-9) + 1
+    shingles = own.select("node", "root", "fp", size.alias("size"), rarest.alias("rarest"), F.explode(F.when(size == 0, F.array(F.lit(0).cast("long"))).otherwise(F.col("s"))).alias("h"))
+    ranked = shingles.withColumn("n", F.count("*").over(by)).withColumn("rank", F.row_number().over(W.partitionBy("node").orderBy("n", "h")))
+    met = stored(
+        ranked.filter("n > 1 AND rank <= rarest")
+        .select("node", "root", "fp", "size", "rank", "h", F.min(F.struct("node", "fp", "size", "rank")).over(by).alias("head"), F.count("*").over(by).alias("n"))
+        .filter("n > 1")
+    )
+
+    def may(a: str, b: str) -> Column:
+        sizes = F.col(f"{a}size"), F.col(f"{b}size")
+        # What both can share if this is the first shingle that they share, as one of their buckets is.
+        shared = F.least(*(F.col(f"{x}size") - F.col(f"{x}rank") + 1 for x in (a, b)))
+        enough = shared * F.lit(1 + similarity) >= (sizes[0] + sizes[1]) * F.lit(similarity) - 1e-6
+        return (F.bit_count(F.col(f"{a}fp").bitwiseXOR(F.col(f"{b}fp"))) <= 3) & (F.least(*sizes) >= F.greatest(*sizes) * F.lit(similarity) - 1e-9) & enough
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        x, y = own.select(F.col("node").alias("a"), F.col("s").alias("sa")), own.select(F.col("node").alias("b"), F.col("s").alias("sb"))
+        return stored(pairs.join(x, "a").join(y, "b").filter(alike("sa", "sb", similarity)).select("a", "b"))
+
+    heads = met.filter("node <> head.node").filter(may("", "head.")).groupBy("node", F.col("head.node").alias("head")).count()
+    stars = verified(heads.groupBy(F.col("node").alias("b")).agg(F.max_by("head", F.struct("count", "head")).alias("a")))
+    found = components(stars)
+    named = met.join(found.select("node", F.col("root").alias("part")), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    open_ = stored(named.select("node", "root", "fp", "size", "rank", "h", "part", F.min("part").over(by).alias("lo"), F.max("part").over(by).alias("hi")).filter("lo <> hi"))
+    pairs = open_.alias("x").join(open_.alias("y"), F.expr("x.root = y.root AND x.h = y.h AND x.node < y.node AND x.part <> y.part") & may("x.", "y."))
+    across = verified(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+    if across.limit(1).count():
+        found = components(stars.unionByName(across))
     gone = found.filter("node <> root").select("node")
     return own.select("node").join(gone, "node", "left_anti").select("node.t1", "node.t2", "node.least")
 
